@@ -55,7 +55,7 @@ class Names:
         for k, cut in (("given", 3), ("family", 4)):
             low = [n.lower() for n in by[k]]
             count = lambda parts: frozenset(p for p in set(parts) if parts.count(p) >= 2)
-            heads[k], tails[k] = count([n[:cut] for n in low]), count([n[-3:] for n in low])
+            heads[k], tails[k] = count([n[:cut] for n in low]) | count([n[:3] for n in low]), frozenset(n[-3:] for n in low)
         return cls(frozenset(n.lower() for n in by["given"]), frozenset(n.lower() for n in by["family"]), heads, tails)
 
 
@@ -78,7 +78,7 @@ def word_features(w: str, names: Names, literal: set[str], numbers: set[str]) ->
         cut = 3 if k == "given" else 4
         if low in known:
             out += [f"{k}", f"{k}|{shape}"]
-        head, tail = low[:cut] in names.heads[k], low[-3:] in names.tails[k]
+        head, tail = low[:cut] in names.heads[k] or low[:3] in names.heads[k], low[-3:] in names.tails[k]
         if len(low) > cut and low not in literal:
             if head:
                 out.append(f"{k}head")
