@@ -4,11 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from profilespark.llm.canonical import map_labels, unmatched_report
 from profilespark.llm.leaks import find_leaks
+from profilespark.llm.packing import pack, packing_report
 from profilespark.llm.pii import find_pii, redact_pii
 from profilespark.session import read_table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return map_labels(read_table(spark, d, "proteins"), read_table(spark, d, "compartments")).select("field_name", "obs_id", "compartment_id")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return unmatched_report(map_labels(read_table(spark, d, "proteins"), read_table(spark, d, "compartments")))
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(read_table(spark, d, "documents"), read_table(spark, d, "token_budgets"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    budgets = read_table(spark, d, "token_budgets")
+    return packing_report(pack(read_table(spark, d, "documents"), budgets), budgets)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
@@ -27,7 +46,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_pii(read_table(spark, d, "documents"), read_table(spark, d, "person_names"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 ORACLE = {
     "p7_found": r"""
