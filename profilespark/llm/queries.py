@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from profilespark.llm import communities as C
+from profilespark.llm import neighbours as N
 from profilespark.llm.canonical import map_labels, unmatched_report
 from profilespark.llm.leaks import find_leaks
 from profilespark.llm.packing import pack, packing_report
@@ -11,6 +14,43 @@ from profilespark.llm.pii import find_pii, redact_pii
 from profilespark.session import read_table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return N.similar_pairs(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", 0.96)
+
+
+def p1_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The whole neighbour graph: the 10 most similar proteins of each, whatever their similarity."""
+    g = N.build_graph(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", trees=12, leaf=900, reverse=16, rounds=4)
+    return N.neighbour_pairs(g, 10).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.round("sim", 4).alias("similarity"), "rank")
+
+
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar vectors of every vector whose id is divisible by 20, by greedy search in the graph of all."""
+    all_ = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    g = N.build_graph(all_, "vec_id", "embedding", trees=8)
+    asked = N.unit_vectors(all_.where("vec_id % 20 = 0"), "vec_id", "embedding").select("id", "vec")
+    found = N.greedy_search(g, asked, k=10)
+    return found.select(F.col("query").cast("long").alias("query_id"), F.col("id").cast("long").alias("vec_id"), F.round("sim", 4).alias("similarity"), "rank")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return C.tied_clusters(read_table(spark, d, "proteins"), read_table(spark, d, "connectivities"))
+
+
+def p2_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the strong edges, with their size and the three most typical members."""
+    strong = C.strong_edges(read_table(spark, d, "proteins"), read_table(spark, d, "connectivities"))
+    return C.describe(strong, C.modularity_communities(strong)).withColumn("typical", F.array_join("typical", ","))
+
+
+def p2_from_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of a graph built by neighbour descent from the vectors, edges of similarity 0.75 or more."""
+    g = N.build_graph(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", floor=0.75)
+    pairs = N.neighbour_pairs(g, 10).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), F.col("sim").cast("double").alias("w"))
+    edges = pairs.groupBy("u", "v").agg(F.max("w").alias("w"))
+    return C.describe(edges, C.modularity_communities(edges)).withColumn("typical", F.array_join("typical", ","))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return map_labels(read_table(spark, d, "proteins"), read_table(spark, d, "compartments")).select("field_name", "obs_id", "compartment_id")
 
@@ -46,9 +86,26 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_pii(read_table(spark, d, "documents"), read_table(spark, d, "person_names"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {
+    "p1_found": p1_found, "p1_graph": p1_graph, "p1_search": p1_search, "p2_found": p2_found, "p2_communities": p2_communities, "p2_from_vectors": p2_from_vectors,
+    "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_redacted": p8_redacted,
+}
 
 ORACLE = {
+    "p1_found": r"""
+WITH v AS (SELECT obs_id, CAST(x_pca AS DOUBLE[48]) AS x FROM (SELECT DISTINCT obs_id, x_pca FROM protein_pca WHERE x_pca IS NOT NULL AND list_sum(list_transform(x_pca, lambda t: abs(t))) > 0)),
+p AS (SELECT a.obs_id AS u, b.obs_id AS v, array_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.obs_id <> b.obs_id),
+r AS (SELECT u, v, s FROM p QUALIFY row_number() OVER (PARTITION BY u ORDER BY s DESC, v) <= 10)
+SELECT DISTINCT least(u, v) AS obs_a, greatest(u, v) AS obs_b FROM r WHERE s >= 0.96""",
+    "p2_found": r"""
+WITH RECURSIVE e AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, max(w) AS w FROM connectivities
+  WHERE src <> dst AND w IS NOT NULL AND src IN (SELECT obs_id FROM proteins) AND dst IN (SELECT obs_id FROM proteins) GROUP BY 1, 2),
+s AS (SELECT u, v FROM e WHERE w >= 0.5), b AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s),
+t AS (SELECT s.u, s.v FROM s JOIN b x ON x.u = s.u JOIN b y ON y.u = s.v AND y.v = x.v GROUP BY 1, 2 HAVING count(*) >= 2),
+tb AS (SELECT u, v FROM t UNION ALL SELECT v, u FROM t),
+reach AS (SELECT DISTINCT u AS a, u AS b FROM tb UNION SELECT r.a, tb.v FROM reach r JOIN tb ON tb.u = r.b),
+c AS (SELECT a AS obs_id, min(b) AS cluster_obs_id, count(*) AS n FROM reach GROUP BY 1)
+SELECT cluster_obs_id, obs_id FROM c WHERE n >= 4""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT item_id, regexp_extract_all(strip_accents(replace(lower(passage), 'ß', 'ss')), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
