@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,22 @@ def local_session(cores: int = 8, app: str = "profilespark", **conf: str) -> Spa
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application, so that they need no copy of it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        made = tempfile.mkdtemp(prefix="profilespark-package-")
+        copy = Path(made) / "package" / root.name
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+        sc.addPyFile(shutil.make_archive(f"{made}/profilespark", "zip", copy.parent))
+        _shipped.add(sc.applicationId)
     return spark
 
 
