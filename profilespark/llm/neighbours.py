@@ -334,7 +334,7 @@ def greedy_search(g: Graph, queries: DataFrame, k: int = 10, beam: int = 32, hop
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("v")))
     links = scratch.write(links.withColumn("r", rank).where(F.col("r") <= 4 * g.k).drop("r"))
     q = scratch.write(queries.select(F.col("id").alias("query"), F.col("vec").alias("x")))
-    start = F.broadcast(nodes.orderBy(F.xxhash64("node")).limit(entries).select("node"))
+    start = nodes.orderBy(F.xxhash64("node")).limit(entries).select("node")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,7 +346,7 @@ def greedy_search(g: Graph, queries: DataFrame, k: int = 10, beam: int = 32, hop
 
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
     # The entry points are a fixed few, so each query meets them all.
-    pairs = q.select("query", F.explode(F.array(*[F.lit(r.node) for r in start.collect()]))) if not nodes.isEmpty() else q.where("false").select("query", F.lit(0).cast("long"))
+    pairs = q.select("query", F.explode(F.array(*[F.lit(r.node).cast("long") for r in start.collect()]))) if not nodes.isEmpty() else q.where("false").select("query", F.lit(0).cast("long"))
     beam_now = scratch.write(scored(pairs.toDF("query", "node")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).select("query", "node", "sim", F.lit(True).alias("open")))
     for _ in range(hops):
         ahead = beam_now.where("open").join(links, F.col("node") == F.col("u")).select("query", F.col("v").alias("node")).distinct()
