@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilespark.llm.common import spread
 from profilespark.session import Scratch, broadcast_if_small
 
 #: Vectors the trees are fitted on; the bound is for the driver's memory, all vectors are indexed.
@@ -158,7 +157,9 @@ def first_lists(nodes: DataFrame, dim: int, k: int, floor: float, trees: int, le
     """u, v, sim of the pairs within leaves, the k best of each vector and tree; sim is near, not exact."""
     spark = nodes.sparkSession
     n = nodes.count()
-    sample = nodes.select("node", "vec").orderBy(F.xxhash64("node")).limit(SAMPLE).collect()
+    # A share of the rows by hash first, so that not every task sends the driver as many rows as the whole sample has.
+    likely = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * 1.2 * SAMPLE / max(1, n)))
+    sample = nodes.select("node", "vec").where(likely).orderBy(F.xxhash64("node")).limit(SAMPLE).collect()
     depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
     fitted = np.stack([np.frombuffer(r.vec, "<f4") for r in sample]) if sample else np.zeros((0, dim), np.float32)
     forest = spark.sparkContext.broadcast(Forest(fitted, min(depth, max(0, int(math.log2(max(1, len(sample)))) - 3)), trees))
@@ -273,16 +274,22 @@ def build_graph(
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "neighbours")
-    all_ = scratch.write(unit_vectors(spread(df.select(id_col, vector_col), id_col), id_col, vector_col))
+    all_ = scratch.write(unit_vectors(df.select(id_col, vector_col), id_col, vector_col))
     dims = all_.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = int(dims[0].dim) if dims else 1
     all_ = all_.where(F.col("dim") == dim)
     copies = all_.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
     copies = scratch.write(copies)
     known = all_.join(broadcast_if_small(copies), "key", "left").withColumn("rep", F.coalesce("rep", "id"))
-    members = known.select("id", "rep")
+    members = scratch.write(known.select("id", "rep"))
     nodes = scratch.write(known.where("id = rep").select(F.monotonically_increasing_id().alias("node"), "id", "vec"))
-    first = exact_similarity(first_lists(nodes, dim, k, floor, trees, leaf), nodes, dim).where(F.col("sim") >= floor)
+    scratch.release(all_)
+    near = scratch.write(first_lists(nodes, dim, k, floor, trees, leaf).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    everyone = nodes
+    if floor > -1:  # only vectors with a near one go on; the others' vectors need not be moved again
+        some = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        nodes = scratch.write(nodes.join(broadcast_if_small(some), "node", "left_semi"))
+    first = exact_similarity(near, nodes, dim).where(F.col("sim") >= floor)
     lists = scratch.write(_best(_both_ways(first).withColumn("old", F.lit(0)), k))
     for _ in range(rounds):
         new = _both_ways(descend(lists, nodes, dim, k, floor, reverse)).withColumn("old", F.lit(0))
@@ -292,7 +299,7 @@ def build_graph(
         said = lists.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
         if said.fresh <= still * said.n:
             break
-    return Graph(lists, nodes, members, dim, k, scratch)
+    return Graph(lists, everyone, members, dim, k, scratch)
 
 
 def neighbour_pairs(g: Graph, k: int, least: float = -1.5) -> DataFrame:
@@ -303,7 +310,8 @@ def neighbour_pairs(g: Graph, k: int, least: float = -1.5) -> DataFrame:
     """
     head = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     heads = g.members.withColumn("h", head).where(F.col("h") <= k + 1).select(F.col("rep").alias("v_rep"), F.col("id").alias("other"))
-    ids = g.nodes.select("node", "id")
+    ends = g.lists.where(F.col("sim") >= least).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = g.nodes.select("node", "id").join(broadcast_if_small(ends), "node", "left_semi")
     between = g.lists.where(F.col("sim") >= least).join(ids.withColumnsRenamed({"node": "u", "id": "u_rep"}), "u").join(ids.withColumnsRenamed({"node": "v", "id": "v_rep"}), "v").select("u_rep", "v_rep", "sim")
     many = g.members.where("id <> rep").select("rep").distinct()
     within = many.select(F.col("rep").alias("u_rep"), F.col("rep").alias("v_rep"), F.lit(1.0).cast("float").alias("sim"))
