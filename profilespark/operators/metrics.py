@@ -85,7 +85,7 @@ def calinski_harabasz(vectors: DataFrame) -> DataFrame:
 def remodeling(a: DataFrame, b: DataFrame) -> DataFrame:
     """obs_id, score: Euclidean distance of each protein's place in two aligned embeddings (obs_id, vec)."""
     j = a.select("obs_id", F.col("vec").alias("x")).join(b.select("obs_id", F.col("vec").alias("y")), "obs_id")
-    return j.select("obs_id", F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v.cast("double"))).alias("score"))
+    return j.select("obs_id", F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, v: s + v)).alias("score"))
 
 
 def robust_distances(x: np.ndarray, support: float = 0.75, seed: int = 0, starts: int = 20) -> np.ndarray:

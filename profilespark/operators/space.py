@@ -20,19 +20,32 @@ def _uniform(*keys) -> F.Column:
     return (F.pmod(F.xxhash64(*keys), F.lit(2**52)) + 0.5) / 2.0**52
 
 
+def grid(ds: SpatialDataset, samples: DataFrame) -> DataFrame:
+    """Every protein with every sample of its dataset, with the columns of samples (var_id, ...).
+
+    Where proteins or samples name no dataset the bundle is one matrix, and the counted table of samples is broadcast.
+    """
+    obs = ds.obs.select("obs_id", *(["dataset"] if "dataset" in ds.obs.columns and "dataset" in ds.var.columns else [])).distinct()
+    if "dataset" in obs.columns:
+        return obs.join(samples.join(ds.var.select("var_id", "dataset").distinct(), "var_id"), "dataset").drop("dataset")
+    if samples.limit(BLOCK * 10 + 1).count() > BLOCK * 10:
+        raise ValueError("too many samples in one matrix; give proteins and samples a dataset")
+    return obs.withColumn("_one", F.lit(1)).join(F.broadcast(samples.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def impute_gaussian(ds: SpatialDataset, width: float = 0.3, distance: float = 1.8, per_sample: bool = True, seed: int = 0) -> SpatialDataset:
     """Missing values drawn from N(mean - distance * std, (width * std)^2) of the sample's (or all) measured values.
 
-    Every protein and sample gets a cell. Draws come from a hash of seed, protein and sample by Box-Muller. obs gets
-    n_imputed. The grid of proteins and samples is the result's definition; the table of samples is broadcast.
+    Every protein gets a cell in every sample of its dataset. Draws come from a hash of seed, protein and sample by
+    Box-Muller. obs gets n_imputed.
     """
     stats = (ds.cells.groupBy("var_id") if per_sample else ds.cells.groupBy()).agg(F.avg(measured()).alias("_m"), F.stddev_pop(measured()).alias("_s"))
     samples = ds.var.select("var_id").distinct()
     samples = samples.join(stats, "var_id") if per_sample else samples.join(F.broadcast(stats))
-    grid = ds.obs.select("obs_id").distinct().join(F.broadcast(samples))
+    every = grid(ds, samples)
     u, v = _uniform(F.lit(seed), "obs_id", "var_id", F.lit("u")), _uniform(F.lit(seed), "obs_id", "var_id", F.lit("v"))
     z = F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v)
-    full = grid.join(ds.cells, ["obs_id", "var_id"], "left")
+    full = every.join(ds.cells, ["obs_id", "var_id"], "left")
     draw = F.col("_m") - distance * F.col("_s") + width * F.col("_s") * z
     full = full.withColumn("imputed", ~F.coalesce(present(), F.lit(False))).withColumn("x", F.when(F.col("imputed"), draw).otherwise(F.col("x"))).drop("_m", "_s")
     n = full.groupBy("obs_id").agg(F.count_if("imputed").alias("n_imputed"))
@@ -88,8 +101,8 @@ def impute_knn(ds: SpatialDataset, k: int = 20, block: int = 1500) -> SpatialDat
     rank = F.row_number().over(Window.partitionBy("obs_id", "var_id").orderBy("d", "donor"))
     fill = near.withColumn("r", rank).where(F.col("r") <= k).groupBy("obs_id", "var_id").agg(F.avg("v").alias("_f"))
     means = ds.cells.groupBy("var_id").agg(F.avg(measured()).alias("_m"))
-    grid = ds.obs.select("obs_id").distinct().join(F.broadcast(ds.var.select("var_id").distinct().join(means, "var_id", "left")))
-    full = grid.join(ds.cells, ["obs_id", "var_id"], "left").join(fill, ["obs_id", "var_id"], "left")
+    every = grid(ds, ds.var.select("var_id").distinct().join(means, "var_id", "left"))
+    full = every.join(ds.cells, ["obs_id", "var_id"], "left").join(fill, ["obs_id", "var_id"], "left")
     full = full.withColumn("imputed", ~F.coalesce(present(), F.lit(False))).withColumn("x", F.when(F.col("imputed"), F.coalesce("_f", "_m")).otherwise(F.col("x")))
     return ds.with_(cells=full.drop("_f", "_m"))
 

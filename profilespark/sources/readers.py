@@ -25,7 +25,7 @@ def _wide(spark: SparkSession, path: str, id_column: str, value_columns: dict[st
     raw = raw.withColumn("obs_id", F.col(quoted[id_column]))
     long = raw.select("obs_id", F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in value_columns.values()]), F.array(*[F.col(quoted[c]).cast("double") for c in value_columns]))).alias("var_id", "x"))
     cells = long.select("obs_id", "var_id", F.coalesce(F.nanvl("x", F.lit(0.0)), F.lit(0.0)).alias("x"))
-    obs = raw.select("obs_id", F.monotonically_increasing_id().alias("obs_pos"), *[F.col(quoted[c]).alias(re.sub(r"\W+", "_", c).strip("_")) for c in raw.columns if c not in value_columns])
+    obs = raw.select("obs_id", F.monotonically_increasing_id().alias("obs_pos"), *[F.col(quoted[c]).alias(re.sub(r"\W+", "_", c).strip("_")) for c in raw.columns if c not in value_columns and c != "obs_id"])
     var = spark.createDataFrame([(s, i) for i, s in enumerate(value_columns.values())], "var_id string, var_pos int")
     return SpatialDataset(cells, obs, var)
 
