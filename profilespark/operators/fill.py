@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profilespark.session import Scratch
+
 #: What stands for nothing in a label once letters and digits alone are kept (fixed values).
 NOTHING = (
     "na", "nan", "none", "null", "nil", "unknown", "unk", "unspecified", "undefined", "undetermined", "missing", "empty", "blank",
@@ -69,12 +71,8 @@ def fill_in_time(
     rows = rows.withColumn("_n", F.first("_seen", True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
     rows = rows.drop("_seen")
 
-    chunks = df.where(~absent).select(*entity, ts.alias("_t"), F.col(tie).alias("id"), F.col(value).alias("v"))
-    chunks = chunks.withColumn("_chunk", F.floor(F.col("_t") / (chunk_s * 1_000_000)))
-    s = F.struct(F.col("_t").alias("t"), "id", "v")
-    chunks = chunks.groupBy(*part).agg(F.min(s).alias("_first"), F.max(s).alias("_last"))
-    # A chunk without observed values has no row here, so neighbours are found by joining on each chunk present.
-    present = rows.select(*part).distinct().join(chunks, part, "left")
+    chunks = df.select(*entity, value, tie, ts.alias("_t")).withColumn("_chunk", F.floor(F.col("_t") / (chunk_s * 1_000_000))).withColumn("_seen", seen)
+    present = chunks.groupBy(*part).agg(F.min("_seen").alias("_first"), F.max("_seen").alias("_last"))
     across = Window.partitionBy(*entity).orderBy("_chunk")
     present = present.select(
         *part,
@@ -122,7 +120,7 @@ def fill_cells(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """
     baited = design(samples).where(F.col("covariate_bait").isNotNull() & F.col("dataset").isNotNull())
     now = latest(cells.select("obs_id", "var_id", "injection", "x", "loaded_at").join(baited.select("var_id"), "var_id", "left_semi"), ["obs_id", "var_id", "injection"], "loaded_at", "x")
-    rows = now.join(baited.drop("subcellular_enrichment"), "var_id")
+    rows = Scratch(cells.sparkSession, "fill").write(now.join(baited.drop("subcellular_enrichment"), "var_id"))  # read twice
     return fill_in_time(rows, ["obs_id", "dataset", "covariate_bait"], "acquired_at", "var_id", "x", missing_number(F.col("x")), numeric=True)
 
 
