@@ -262,6 +262,8 @@ def pack(docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -> Dat
             break
         results.append(placed.where(~ill))
         items = placed.where(ill).select("budget_id", "capacity", "doc_id", "piece_no", "size")
+    if not results:  # no documents
+        return full.select(*out_cols)
     packed = results[0]
     for r in results[1:]:
         packed = packed.unionByName(r)
