@@ -95,6 +95,33 @@ def hypergeom_sf(k: int, population: int, marked: int, drawn: int) -> float:
     return float(min(1.0, np.exp(log_choose(marked, i) + log_choose(population - marked, drawn - i) - log_choose(population, drawn)).sum()))
 
 
+def hypergeom_sf_many(k: np.ndarray, population: np.ndarray, marked: np.ndarray, drawn: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+    """``hypergeom_sf`` of many rows, as sums over the rows of a matrix; rows of like length go together."""
+    k, n, m, d = (np.asarray(v, np.int64) for v in (k, population, marked, drawn))
+    out = np.zeros(len(k))
+    if not len(k):
+        return out
+    low = np.maximum(k, np.maximum(0, d - (n - m)))
+    length = np.maximum(0, np.minimum(m, d) - low + 1)
+    top = int(n.max())
+    table = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, top + 1))))) if top <= 5_000_000 else None
+    lf = (lambda x: table[x]) if table is not None else (lambda x: log_gamma(x + 1.0))
+    order = np.argsort(length, kind="stable")
+    order = order[length[order] > 0]
+    at = 0
+    while at < len(order):
+        step = max(1, min(len(order) - at, cells // int(length[order[min(len(order) - 1, at + 4095)]])))
+        rows = order[at : at + min(step, 4096)]
+        at += len(rows)
+        off = np.arange(int(length[rows].max()))[None]
+        ok = off < length[rows][:, None]
+        i = np.where(ok, low[rows][:, None] + off, low[rows][:, None])
+        N, M, D = n[rows][:, None], m[rows][:, None], d[rows][:, None]
+        lp = lf(M) - lf(i) - lf(M - i) + lf(N - M) - lf(D - i) - lf(N - M - D + i) - lf(N) + lf(D) + lf(N - D)
+        out[rows] = np.where(ok, np.exp(lp), 0.0).sum(1)
+    return np.minimum(out, 1.0)
+
+
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     """Two-sided exact test of [[a, b], [c, d]]: the tables at most as likely as this one."""
     n, row, col = a + b + c + d, a + b, a + c
@@ -131,7 +158,7 @@ def chi2_tail(x: str, df: int) -> Column:
 def hypergeom_tail(k: str, population: str, marked: str, drawn: str) -> Column:
     @F.pandas_udf(T.DoubleType())
     def f(k: pd.Series, n: pd.Series, m: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([hypergeom_sf(*map(int, x)) for x in zip(k, n, m, d)])
+        return pd.Series(hypergeom_sf_many(k.to_numpy(), n.to_numpy(), m.to_numpy(), d.to_numpy()))
 
     return f(k, population, marked, drawn)
 

@@ -118,7 +118,6 @@ def covariance(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "q"])
 
     parts = vectors.select("vec").where(F.size("vec") == dim).mapInArrow(run, "n long, s array<double>, q array<double>")
-    add = lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: i)  # noqa: E731, F841
     long = parts.select("n", F.posexplode(F.concat("s", "q")).alias("j", "v")).groupBy("j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     rows = {r.j: (r.v, r.n) for r in long.collect()}
     n = rows[0][1] if rows else 0

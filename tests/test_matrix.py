@@ -102,6 +102,8 @@ def test_tails():
     assert abs(ST.t_sf2(1, 1) - 0.5) < 1e-10 and abs(ST.t_sf2(math.sqrt(2), 2) - (1 - 1 / math.sqrt(2))) < 1e-10
     assert abs(ST.chi2_sf(3.0, 2) - math.exp(-1.5)) < 1e-12
     assert abs(ST.hypergeom_sf(4, 10, 4, 5) - 6 / 252) < 1e-12
+    many = [(4, 10, 4, 5), (0, 10, 4, 5), (3, 5000, 100, 70), (9, 10, 4, 5), (1, 8, 8, 3)]
+    assert np.allclose(ST.hypergeom_sf_many(*zip(*many)), [ST.hypergeom_sf(*x) for x in many])
     assert abs(ST.fisher_two_sided(3, 1, 1, 3) - 0.4857142857) < 1e-8
     assert abs(ST.log_gamma(np.array(5.0)) - math.log(24)) < 1e-10
 
@@ -178,6 +180,8 @@ def test_clusters(spark, two_cliques):
     assert seed.groupBy("obs_id").agg(F.sum("value").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
     go = C.merge_clusters_by_terms(edges, cl, genes, sets, connectivity_lower=0.1)
     assert go.select("cluster").distinct().count() == 2
+    ev = C.merge_clusters_by_terms(edges, cl, genes, sets, connectivity_lower=0.1, method="evidence", max_active=2)
+    assert ev.select("cluster").distinct().count() in (2, 3)
 
 
 def test_metrics(spark):
@@ -298,6 +302,10 @@ def test_diffusion(spark, two_cliques):
     assert got["a5"] == "A" and got["b5"] == "B"
     c = S.calibrate(out["scores"].withColumn("y", (F.upper(F.substring("obs_id", 1, 1)) == F.col("term")).cast("double")), folds=2)
     assert c.where("value < 0 OR value > 1").count() == 0
+    nested = spark.createDataFrame([("p", "in", 0.9), ("p", "out", 0.95), ("q", "out", 0.9), ("q", "in", 0.1), ("r", "in", 0.1)], "obs_id string, term string, value double")
+    lap = spark.createDataFrame([("in", "out", 1.0), ("out", "in", 0.2)], "a string, b string, c double")
+    lab = {r.obs_id: (r.labels, r.smallest) for r in S.resolve_likelihood(nested, lap).collect()}
+    assert lab == {"p": ("in", "in"), "q": ("out", "out"), "r": ("in", "in")}
     sets = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("b", "3"), ("b", "4")], "term string, gene string")
     assert {(r.a, r.b): r.c for r in S.containment(sets).collect()} == {("a", "a"): 1.0, ("b", "b"): 1.0, ("a", "b"): 1.0, ("b", "a"): 0.5}
 
