@@ -284,7 +284,10 @@ def build_graph(
     members = scratch.write(known.select("id", "rep"))
     nodes = scratch.write(known.where("id = rep").select(F.monotonically_increasing_id().alias("node"), "id", "vec"))
     scratch.release(all_)
-    near = scratch.write(first_lists(nodes, dim, k, floor, trees, leaf).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = first_lists(nodes, dim, k, floor, trees, leaf)
+    if floor <= -1:  # every vector has full lists from every tree: the best by code go on, twice as many as are kept
+        pairs = _best(pairs.withColumn("old", F.lit(0)), 2 * k)
+    near = scratch.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     everyone = nodes
     if floor > -1:  # only vectors with a near one go on; the others' vectors need not be moved again
         some = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()

@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_graph(spark: SparkSession, d: str) -> DataFrame:
     """The whole neighbour graph: the 10 most similar proteins of each, whatever their similarity."""
-    g = N.build_graph(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", trees=12, leaf=900, reverse=16, rounds=4)
+    g = N.build_graph(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", trees=12, leaf=1200, reverse=20, rounds=6)
     return N.neighbour_pairs(g, 10).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.round("sim", 4).alias("similarity"), "rank")
 
 
