@@ -11,12 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from profilespark.llm.neighbours import build_graph, neighbour_pairs
 from profilespark.operators.graph import both_ways, connected_components, shared_neighbours, undirected
 from profilespark.session import Scratch
 
 MOVES, LEVELS = 4, 3
 
 
+def vector_edges(vectors: DataFrame, id_col: str, vector_col: str, least: float, k: int = 10, trees: int = 12, leaf: int = 1200, reverse: int = 20, rounds: int = 12) -> DataFrame:
+    """u < v, w: similarity of at least ``least``, and one among the k most similar of the other.
+
+    Descent has more trees, larger leaves and more rounds than ``build_graph`` has without being told, as leaves get
+    lost with the depth of the trees; it ends when few entries change.
+    """
+    g = build_graph(vectors, id_col, vector_col, floor=least, trees=trees, leaf=leaf, reverse=reverse, rounds=rounds)
+    pairs = neighbour_pairs(g, k).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), F.col("sim").cast("double").alias("w"))
+    return pairs.groupBy("u", "v").agg(F.max("w").alias("w"))
+
+
 def _move(sym: DataFrame, state: DataFrame, total: float, number: int, resolution: float) -> DataFrame:
     """One round: node, k, comm, moved. sym: src, dst, w without loops; state: node, k, comm."""
     inside = sym.join(state.select(F.col("node").alias("dst"), "comm"), "dst").groupBy("src", "comm").agg(F.sum("w").alias("w_in"))

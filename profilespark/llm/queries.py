@@ -45,9 +45,7 @@ def p2_communities(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_from_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Communities of a graph built by neighbour descent from the vectors, edges of similarity 0.75 or more."""
-    g = N.build_graph(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", floor=0.75)
-    pairs = N.neighbour_pairs(g, 10).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), F.col("sim").cast("double").alias("w"))
-    edges = pairs.groupBy("u", "v").agg(F.max("w").alias("w"))
+    edges = C.vector_edges(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", 0.75)
     return C.describe(edges, C.modularity_communities(edges)).withColumn("typical", F.array_join("typical", ","))
 
 

@@ -111,3 +111,19 @@ def test_tied_clusters(spark):
     assert got == want and want
     none = spark.createDataFrame([], "src string, dst string, w double")
     assert C.tied_clusters(prot, none).count() == 0
+
+
+def pairs_far_from_others(spark, n=10_000, dim=48):
+    """n pairs of similarity about 0.8, each far from all others: only a common leaf brings them together."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(0, 1, (n, dim))
+    b = a + 0.75 * rng.normal(0, 1, (n, dim))
+    rows = [(f"p{i:05}{c}", v.tolist()) for c, x in (("a", a), ("b", b)) for i, v in enumerate(x)]
+    near = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1) >= 0.76
+    return {(f"p{i:05}a", f"p{i:05}b") for i in np.flatnonzero(near)}, spark.createDataFrame(rows, "obs_id string, x_pca array<double>")
+
+
+def test_edges_from_vectors_are_nearly_all_found(spark):
+    want, df = pairs_far_from_others(spark)
+    got = {(r.u, r.v) for r in C.vector_edges(df, "obs_id", "x_pca", 0.75).collect()}
+    assert len(got & want) >= 0.95 * len(want)
