@@ -336,17 +336,12 @@ def impute_gaussian(spark, d):
 
 
 def mixture_model(spark, d):
-    v = _labelled_vectors(spark, d).select("obs_id", "label", F.slice("vec", 1, 6).alias("vec"))
-    few = v.groupBy("label").count().where("label IS NOT NULL AND count >= 10").orderBy(F.desc("count"), "label").limit(8).select("label")
-    v = v.join(F.broadcast(few.withColumn("ok", F.lit(True))), "label", "left").select("obs_id", F.when(F.col("ok"), F.col("label")).alias("label"), "vec")
-    return S.predict_mixture(v, S.fit_mixture(v, 6, 15))
+    v = _labelled_vectors(spark, d)
+    return S.predict_mixture(v, S.fit_mixture(v, DIM))
 
 
 def kernel_classifier(spark, d):
-    v = _labelled_vectors(spark, d)
-    few = v.groupBy("label").count().where("label IS NOT NULL").orderBy(F.desc("count"), "label").limit(4).select("label")
-    v = v.join(F.broadcast(few.withColumn("ok", F.lit(True))), "label", "left").select("obs_id", F.when(F.col("ok"), F.col("label")).alias("label"), "vec")
-    return S.classify_kernel(v, DIM, 1.0, 0.02)
+    return S.classify_kernel(_labelled_vectors(spark, d), DIM, 1.0, 0.02)
 
 
 def set_activity(spark, d):

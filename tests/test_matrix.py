@@ -333,3 +333,16 @@ def test_bundle(spark, ds, tmp_path):
     assert ds.set_matrix("k", m).get_matrix("k").count() == 2
     with pytest.raises(ValueError):
         ds.set_matrix("k", m.unionByName(m))
+
+
+def test_classifiers_take_all_labels_and_dimensions(spark, sf_dir, monkeypatch):
+    from profilespark.plans import matrix as Q
+
+    known = {(r.obs_id, r.label) for r in Q._labelled_vectors(spark, sf_dir).where("label IS NOT NULL").collect()}
+    got = {(r.obs_id, r.label) for r in Q.kernel_classifier(spark, sf_dir).collect()}
+    assert known <= got
+    models = []
+    fit = S.fit_mixture
+    monkeypatch.setattr(S, "fit_mixture", lambda *a, **kw: models.append(fit(*a, **kw)) or models[-1])
+    Q.mixture_model(spark, sf_dir)
+    assert set(models[0].classes) == {label for _, label in known} and models[0].mu.shape[1] == Q.DIM
