@@ -5,6 +5,8 @@ Edge tables are src, dst, w in both directions (see ``symmetric_edges``); labels
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,9 +105,13 @@ def propagate(
             y = scratch.write(y)
             change = y.select("obs_id", "category", F.col("value").alias("a")).join(now.select("obs_id", "category", F.col("value").alias("b")), ["obs_id", "category"], "full")
             off = change.agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0] or 0.0
+            if step:
+                scratch.release(now)
             now = y
             if off < tol:
                 break
+            if step == iterations - 1:
+                warnings.warn(f"labels not still after {iterations} steps: the last changed {off:g}", stacklevel=2)
         else:
             now = y
     if class_balance:

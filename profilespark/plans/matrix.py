@@ -216,7 +216,7 @@ def competitive_propagation(spark, d):
 
 def spread_labels(spark, d):
     ds = dataset_tables(spark, d)
-    return L.best_category(L.propagate(L.symmetric_edges(ds.edges), L.one_hot(_labels(spark, d, ds)), method="spreading", iterations=5))
+    return L.best_category(L.propagate(L.symmetric_edges(ds.edges), L.one_hot(_labels(spark, d, ds)), method="spreading", iterations=1000))
 
 
 def resolve_labels(spark, d):
@@ -310,7 +310,7 @@ def merge_small_clusters(spark, d):
 
 
 def markov_clustering(spark, d):
-    return C.markov_clustering(L.symmetric_edges(dataset_tables(spark, d).edges).where("w >= 0.5"), 2.0, rounds=6)
+    return C.markov_clustering(L.symmetric_edges(dataset_tables(spark, d).edges).where("w >= 0.5"), 2.0, rounds=100)
 
 
 def sample_correlation(spark, d):

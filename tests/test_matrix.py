@@ -346,3 +346,20 @@ def test_classifiers_take_all_labels_and_dimensions(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(S, "fit_mixture", lambda *a, **kw: models.append(fit(*a, **kw)) or models[-1])
     Q.mixture_model(spark, sf_dir)
     assert set(models[0].classes) == {label for _, label in known} and models[0].mu.shape[1] == Q.DIM
+
+
+def test_queries_run_until_still(spark, sf_dir):
+    import warnings
+
+    from profilespark.plans import matrix as Q
+
+    edges = L.symmetric_edges(spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(9)], "src string, dst string, w double"))
+    seed = L.one_hot(spark.createDataFrame([("n0", "a"), ("n9", "b")], "obs_id string, label string"))
+    with pytest.warns(UserWarning, match="not still"):
+        L.propagate(edges, seed, method="spreading", iterations=5)
+    with pytest.warns(UserWarning, match="not still"):
+        C.markov_clustering(edges, 2.0, rounds=2)
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message=".*not still")
+        Q.spread_labels(spark, sf_dir)
+        Q.markov_clustering(spark, sf_dir)
