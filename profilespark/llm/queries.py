@@ -38,9 +38,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of the strong edges, with their size and the three most typical members."""
-    strong = C.strong_edges(read_table(spark, d, "proteins"), read_table(spark, d, "connectivities"))
-    return C.describe(strong, C.modularity_communities(strong)).withColumn("typical", F.array_join("typical", ","))
+    """Communities of all weighted edges, with their size and the three most typical members."""
+    edges = C.strong_edges(read_table(spark, d, "proteins"), read_table(spark, d, "connectivities"), least=0.0).where("w > 0")
+    return C.describe(edges, C.modularity_communities(edges)).withColumn("typical", F.array_join("typical", ","))
 
 
 def p2_from_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -127,3 +127,17 @@ def test_edges_from_vectors_are_nearly_all_found(spark):
     want, df = pairs_far_from_others(spark)
     got = {(r.u, r.v) for r in C.vector_edges(df, "obs_id", "x_pca", 0.75).collect()}
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_communities_hold_every_joined_protein(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from profilespark.llm import queries as Q
+    from profilespark.session import read_table
+
+    edges = C.strong_edges(read_table(spark, sf_dir, "proteins"), read_table(spark, sf_dir, "connectivities"), 0.0).where("w > 0")
+    joined = edges.select(F.explode(F.array("u", "v")).alias("n")).distinct().count()
+    strong = edges.where("w >= 0.5").select(F.explode(F.array("u", "v")).alias("n")).distinct().count()
+    held = Q.p2_communities(spark, sf_dir).agg(F.sum("size")).first()[0]
+    print("HELD", strong, joined, held)
+    assert strong < joined == held
