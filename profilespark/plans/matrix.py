@@ -346,9 +346,7 @@ def kernel_classifier(spark, d):
 
 def set_activity(spark, d):
     ds = dataset_tables(spark, d)
-    sets = _gene_sets(spark, d, ds)
-    big = sets.groupBy("term").count().orderBy(F.desc("count"), "term").limit(12).select("term")
-    return S.cluster_set_activity(_clusters(ds), _genes(ds), sets.join(F.broadcast(big), "term", "left_semi"), max_active=2)
+    return S.cluster_set_activity(_clusters(ds), _genes(ds), _gene_sets(spark, d, ds))
 
 
 def independent_diffusion(spark, d):

@@ -363,3 +363,14 @@ def test_queries_run_until_still(spark, sf_dir):
         warnings.filterwarnings("error", message=".*not still")
         Q.spread_labels(spark, sf_dir)
         Q.markov_clustering(spark, sf_dir)
+
+
+def test_set_activity_takes_all_terms(spark, sf_dir, monkeypatch):
+    from profilespark.plans import matrix as Q
+
+    asked = []
+    monkeypatch.setattr(S, "cluster_set_activity", lambda clusters, genes, sets, **kw: asked.append((sets, kw)))
+    Q.set_activity(spark, sf_dir)
+    want = Q._gene_sets(spark, sf_dir, Q.dataset_tables(spark, sf_dir))
+    sets, kw = asked[0]
+    assert sets.select("term").distinct().count() == want.select("term").distinct().count() > 12 and kw.get("max_active", 4) == 4
