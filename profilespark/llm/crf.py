@@ -75,7 +75,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans:
 class _Batch:
     """Sequences trained on together: their places, the ids seen at each offset, and what the labels count."""
 
-    def __init__(self, slots: Slots, bounds: np.ndarray, gold: np.ndarray, offsets: dict[str, list[int]], labels: int):
+    def __init__(self, slots: Slots, bounds: np.ndarray, gold: np.ndarray, offsets: dict[str, list[int]], labels: int, pads: dict[str, np.ndarray]):
         self.n = n = len(bounds)
         starts = np.flatnonzero(np.append(True, bounds[1:] != bounds[:-1]))
         lengths = np.diff(np.append(starts, n))
@@ -86,22 +86,28 @@ class _Batch:
         # Tokens step by step, so that a step is a slice.
         order = np.concatenate([starts[:a] + t for t, a in enumerate(self.alive)])
         self.at = np.concatenate(([0], np.cumsum(self.alive)))
-        self.ids = {(s, o): shifted(slots[s], bounds, o)[order] for s in offsets for o in offsets[s]}
         self.onehot = np.zeros((n, labels), np.float32)
         self.onehot[np.arange(n), gold[order]] = 1
         self.pairs = np.zeros((labels, labels), np.float32)
         inner = bounds[1:] == bounds[:-1]
         np.add.at(self.pairs, (gold[:-1][inner], gold[1:][inner]), 1)
-        self.sums = {}
-        for key, ids in self.ids.items():
-            by = np.argsort(ids, kind="stable")
-            u, first = np.unique(ids[by], return_index=True)
-            self.sums[key] = (by, u, first)
+        # Per slot and offset: the types met, where each token's is, and their features; a step works on these alone.
+        self.seen = {}
+        for slot, offs in offsets.items():
+            for o in offs:
+                ids = shifted(slots[slot], bounds, o)[order]
+                types, where = np.unique(ids, return_inverse=True)
+                by = np.argsort(where, kind="stable")
+                begin = np.searchsorted(where[by], np.arange(len(types)))
+                pad = pads[slot][types]
+                owner = np.argsort(pad.ravel(), kind="stable")
+                met, at = np.unique(pad.ravel()[owner], return_index=True)
+                self.seen[slot, o] = (where, by, begin, pad, owner // pad.shape[1], met, at)
 
 
 def train(
     slots: Slots, bounds: np.ndarray, gold: np.ndarray, features: dict[str, list[list[int]]], n_features: dict[str, int],
-    offsets: dict[str, list[int]], labels: int, forbidden: np.ndarray, epochs: int = 30, batches: int = 16, rate: float = 0.06, l2: float = 1e-4,
+    offsets: dict[str, list[int]], labels: int, forbidden: np.ndarray, epochs: int = 13, batches: int = 48, rate: float = 0.06, l2: float = 3e-5,
 ) -> tuple[dict[str, dict[int, np.ndarray]], np.ndarray, np.ndarray]:
     """Weights of large penalised likelihood, by Adam on batches: feature weights, transitions, first scores.
 
@@ -111,29 +117,26 @@ def train(
     weights = {(s, o): np.zeros((n_features[s] + 1, labels), f32) for s in offsets for o in offsets[s]}
     trans, first = np.zeros((labels, labels), f32), np.zeros(labels, f32)
     pads = {s: np.array([f + [-1] * (max(map(len, fs)) - len(f)) for f in fs]) for s, fs in features.items()}
-    flat = {}
-    for s, pad in pads.items():
-        by = np.argsort(pad.ravel(), kind="stable")
-        u, at = np.unique(pad.ravel()[by], return_index=True)
-        flat[s] = (by // pad.shape[1], u, at)
     n_seq = int(bounds.max()) + 1
     group = np.arange(n_seq) % batches
     made = []
     for b in range(batches):
         m = group[bounds] == b
         if m.any():
-            made.append(_Batch({k: v[m] for k, v in slots.items()}, bounds[m], gold[m], offsets, labels))
+            made.append(_Batch({k: v[m] for k, v in slots.items()}, bounds[m], gold[m], offsets, labels, pads))
     params = [*weights.values(), trans, first]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     start_bar = forbidden_first(forbidden).astype(f32)
     bar = forbidden.astype(f32)
     step, total = 0, epochs * len(made)
+    sums = [np.zeros_like(p) for p in params]
+    held = 0
     for _ in range(epochs):
         for x in made:
             step += 1
             e = np.zeros((x.n, labels), f32)
-            for key, ids in x.ids.items():
-                e += weights[key][pads[key[0]]].sum(1)[ids]
+            for key, (where, _, _, pad, _, _, _) in x.seen.items():
+                e += weights[key][pad].sum(1)[where]
             pe = np.exp(e - e.max(1, keepdims=True))
             m = np.exp(trans + bar)
             alpha, beta, scale = np.empty_like(pe), np.empty_like(pe), np.empty((x.n, 1), f32)
@@ -160,24 +163,28 @@ def train(
             post /= post.sum(1, keepdims=True)
             resid = (x.onehot - post) / x.seqs
             grads = []
-            for (s, o), w in weights.items():
-                by, u, at = x.sums[s, o]
-                by_type = np.zeros((len(features[s]), labels), f32)
-                by_type[u] = np.add.reduceat(resid[by], at, axis=0)
-                owner, u, at = flat[s]
+            for key, w in weights.items():
+                _, by, begin, _, owner, met, at = x.seen[key]
+                by_type = np.add.reduceat(resid[by], begin, axis=0)
                 g = np.zeros_like(w)
-                g[u] = np.add.reduceat(by_type[owner], at, axis=0)
+                g[met] = np.add.reduceat(by_type[owner], at, axis=0)
                 g[-1] = 0
                 grads.append(g - l2 * w)
             grads.append((x.pairs - pair) / x.seqs - l2 * trans)
             grads.append(resid[: x.seqs].sum(0) - l2 * first)
-            r = rate * (1 - 0.95 * step / total)
+            r = rate * (1 - 0.8 * step / total)
             for p, g, (m1, m2) in zip(params, grads, moments):
                 m1 *= 0.9
                 m1 += 0.1 * g
                 m2 *= 0.99
                 m2 += 0.01 * g * g
                 p += r * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+            if step * 2 > total:  # the mean over the second half of the steps errs less than where they end
+                held += 1
+                for a, p in zip(sums, params):
+                    a += p
+    for a, p in zip(sums, params):
+        p[...] = a / max(1, held)
     by_slot: dict[str, dict[int, np.ndarray]] = {s: {} for s in offsets}
     for (s, o), w in weights.items():
         by_slot[s][o] = w[:-1]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from profilespark.llm import crf
 from profilespark.llm.common import spread
-from profilespark.llm.pii_table import FRAMES, KINDS, LOOKALIKES, STREETS, labelled_rows
+from profilespark.llm.pii_table import AROUND, FAMILY, GIVEN, GRAMMAR, KINDS, LANDMARKS, OTHERS, PLAIN, SIDES, STREETS, TOWARDS, labelled_rows
 
 #: A longer text is decoded in windows of CORE tokens that see CONTEXT tokens on each side.
 CORE, CONTEXT = 512, 64
@@ -21,8 +23,10 @@ CORE, CONTEXT = 512, 64
 BATCH_TOKENS, KEPT_CHUNKS = 400_000, 300_000
 #: The name list is handed to every worker; a longer one is refused (its size is fixed at some hundreds).
 MOST_NAMES = 100_000
+#: Labelled rows the field is fitted on; they are made by pii_table, so the bound has nothing to do with the corpus.
+TRAINING_ROWS = 16_000
 
-OFFSETS = {"word": [-3, -2, -1, 0, 1, 2, 3], "gap": [0], "chunk": [0], "before": [0], "after": [0], "after2": [0]}
+OFFSETS = {"word": [-3, -2, -1, 0, 1, 2, 3], "round": [0], "ahead": [0], "figures": [0], "gap": [0], "chunk": [0], "before": [0], "after": [0], "after2": [0]}
 _PART = re.compile(r"\s+|\S+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _LEAD, _TRAIL = "([{<«\"'“‘", ".,;:!?)]}>»\"'”’…"
@@ -31,12 +35,17 @@ LABELS = 1 + 2 * len(KINDS)
 
 
 def _literal_words() -> set[str]:
-    text = " ".join([*(f.replace("{v}", " ") for fs in FRAMES.values() for f in fs), *(re.sub(r"\{\w+\}", " ", s) for s in STREETS), *LOOKALIKES])
-    return {w.lower() for w in re.findall(r"[^\W\d_]+", text) if w not in ("P", "Q", "QQ", "Y")} | {"example", "invalid", "test", "org", "com", "net", "works", "mail", "lab", "info", "list", "ext", "x", "dot", "at", "b", "unit", "flat"}
+    """Words of the wording and the forms, which the field may know as such; all others are known by their shape."""
+    said = [w for by in AROUND.values() for pair in by.values() for w in pair] + [re.sub(r"\{\w+\}", " ", s) for by in STREETS.values() for s in by]
+    said += [*LANDMARKS, *SIDES, *(w for by in (TOWARDS, GRAMMAR) for ws in by.values() for w in ws)]
+    said += [re.sub(r"\b[PNT]\b", " ", s) for by in PLAIN.values() for s in by] + [re.sub(r"\b[Pp]\b|[9Qq]", " ", s) for s in OTHERS]
+    more = {"example", "invalid", "test", "org", "com", "net", "edu", "gov", "io", "co", "uk", "fr", "de", "es", "pt", "mail", "info", "ext", "extension", "x", "dot", "at", "b", "von", "da", "le"}
+    return {w.lower() for w in re.findall(r"[^\W\d_]+", " ".join(said))} | more
 
 
 def _numbers() -> set[str]:
-    return {"44", "33", "49", "1", "20", "020", "0033", "030", "01", "555", "202", "7946", "99", "00", "30", "23125", "000", "34", "351", "0", "2"}
+    """Numbers known as such: those that begin phone numbers abroad."""
+    return {"1", "33", "34", "39", "44", "46", "48", "49", "55", "91", "351", "353"}
 
 
 @dataclass
@@ -47,6 +56,8 @@ class Names:
     family: frozenset[str]
     heads: dict[str, frozenset[str]]
     tails: dict[str, frozenset[str]]
+    ends: frozenset[str]  # two letters that names of many countries end with, and two that stand side by side in them
+    pairs: frozenset[str]
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]]) -> Names:
@@ -56,7 +67,9 @@ class Names:
             low = [n.lower() for n in by[k]]
             count = lambda parts: frozenset(p for p in set(parts) if parts.count(p) >= 2)
             heads[k], tails[k] = count([n[:cut] for n in low]) | count([n[:3] for n in low]), frozenset(n[-3:] for n in low)
-        return cls(frozenset(n.lower() for n in by["given"]), frozenset(n.lower() for n in by["family"]), heads, tails)
+        pairs = Counter(p for n in (*GIVEN, *FAMILY) for p in {f"^{n}$".lower()[i : i + 2] for i in range(len(n) + 1)})
+        ends = [n.lower()[-2:] for n in (*GIVEN, *FAMILY)]
+        return cls(frozenset(n.lower() for n in by["given"]), frozenset(n.lower() for n in by["family"]), heads, tails, frozenset(e for e in ends if ends.count(e) >= 2), frozenset(p for p, n in pairs.items() if n >= 2))
 
 
 def word_features(w: str, names: Names, literal: set[str], numbers: set[str]) -> tuple[str, ...]:
@@ -70,7 +83,7 @@ def word_features(w: str, names: Names, literal: set[str], numbers: set[str]) ->
     if not w[0].isalpha():
         return (f"p={w}", "punct")
     low = w.lower()
-    shape = "u" if len(w) == 1 and w.isupper() else "U" if w.isupper() else "x" if w.islower() else "Xx" if w[1:].islower() else "xX"
+    shape = ("u" if w.isupper() else "l") if len(w) == 1 else "U" if w.isupper() else "x" if w.islower() else "Xx" if w[1:].islower() else "xX"
     out = [f"s={shape}"]
     if low in literal:
         out += [f"w={low}", f"w={low}|{shape}"]
@@ -89,10 +102,31 @@ def word_features(w: str, names: Names, literal: set[str], numbers: set[str]) ->
     if len(low) > 5 and low.endswith(_STREET_END):
         out.append("streetend")
     if len(out) == 1 and shape in ("Xx", "U"):
-        out.append(f"unknown{shape}")
+        out += [f"unknown{shape}", f"e={low[-2:]}" if low[-2:] in names.ends else "e=other"]
+        out.append(f"odd{min(3, sum(low[i : i + 2] not in names.pairs for i in range(len(low) - 1)))}")
     return tuple(out)
 
 
+def word_class(features: tuple[str, ...]) -> int:
+    """One of ten kinds of word, which stand side by side in the slots "round" and "ahead"; 0 is outside."""
+    if not features:
+        return 0
+    if features[0] == "digits":
+        return 8
+    if features[-1] == "punct" or features[0] == "odd":
+        return 9
+    shape, known = features[0], any(f.startswith("w=") for f in features)
+    if shape in ("s=x", "s=l", "s=xX"):
+        return 1 if known else 2
+    if shape == "s=u":
+        return 6
+    if known:
+        return 3
+    if any(f.startswith(("given", "family")) for f in features):
+        return 4
+    return 7 if shape == "s=U" else 5
+
+
 def chunk_features(c: str) -> tuple[str, ...]:
     """The shape of what stands between white space, without punctuation around it."""
     core = c.lstrip(_LEAD).rstrip(_TRAIL)
@@ -117,12 +151,16 @@ class Types:
     def __init__(self) -> None:
         self.ids: dict[tuple[str, ...], int] = {(): 0}
         self.sets: list[tuple[str, ...]] = [()]
+        self.classes = [0]
+        self.figures = [0]
 
     def get(self, features: tuple[str, ...]) -> int:
         k = self.ids.get(features)
         if k is None:
             k = self.ids[features] = len(self.sets)
             self.sets.append(features)
+            self.classes.append(word_class(features))
+            self.figures.append(int(features[1][1:]) if features[0] == "digits" else 0)
         return k
 
 
@@ -238,6 +276,11 @@ class Reader:
         for o in (-1, 1, 2):
             gaps = gaps * 5 + crf.shifted(gap, tok_seq, o)
         slots = {"word": all_types[at], "gap": gaps, "chunk": shape[owner]}
+        kind = np.array(self.word.classes, np.int64)[slots["word"]]
+        before, after, after2 = (crf.shifted(kind, tok_seq, o) for o in (-1, 1, 2))
+        size = np.array(self.word.figures, np.int64)[slots["word"]]
+        slots["figures"] = crf.shifted(size, tok_seq, -1) * 100 + size * 10 + crf.shifted(size, tok_seq, 1)
+        slots["round"], slots["ahead"] = before * 100 + kind * 10 + after, kind * 100 + after * 10 + after2
         for name, o in (("before", -1), ("after", 1), ("after2", 2)):
             slots[name] = crf.shifted(shape, seq, o)[owner]
         start = begin[owner] + all_starts[at]
@@ -255,15 +298,18 @@ class Model:
 
 #: Gap kinds before the token, the one before it, and the two after it: none, space, newline, start, glued.
 _GAPS = [(f"0{k // 125}", f"-{k // 25 % 5}", f"+{k // 5 % 5}", f"++{k % 5}", f"0{k // 125}+{k // 5 % 5}") for k in range(625)]
+#: Three kinds of word, or three numbers of figures, side by side.
+_KINDS = [(f"k{k}",) for k in range(1000)]
 
 
 def _slot_sets(reader: Reader) -> dict[str, list[tuple[str, ...]]]:
-    return {"word": reader.word.sets, "gap": _GAPS, "chunk": reader.chunk.sets, "before": reader.chunk.sets, "after": reader.chunk.sets, "after2": reader.chunk.sets}
+    return {"word": reader.word.sets, "round": _KINDS, "ahead": _KINDS, "figures": _KINDS, "gap": _GAPS, "chunk": reader.chunk.sets, "before": reader.chunk.sets, "after": reader.chunk.sets, "after2": reader.chunk.sets}
 
 
-def train_model(name_rows: list[tuple[str | None, str | None]], rows: int = 4000) -> Model:
-    """Fitted on ``rows`` labelled rows (see pii_table); takes some seconds, whatever the size of the corpus."""
-    names = Names.of(name_rows)
+@lru_cache(maxsize=4)
+def train_model(name_rows: tuple[tuple[str | None, str | None], ...], rows: int = TRAINING_ROWS) -> Model:
+    """Fitted on ``rows`` labelled rows (see pii_table), the same whatever the corpus; kept for further calls with these names."""
+    names = Names.of(list(name_rows))
     given = sorted({n for n, k in name_rows if n and k == "given"}) or ["Ada", "Carl", "Nora"]
     family = sorted({n for n, k in name_rows if n and k == "family"}) or ["Bergmann", "Okafor", "Lindqvist"]
     data = labelled_rows(given, family, rows)
@@ -356,12 +402,21 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     lead = " \n\t([<,;:/-" if kind == "phone" and not re.match(r"\(\d", text[a:b]) else " \n\t" if kind == "phone" else " \n\t([<,;:/"
     while a < b and text[a] in lead:
         a += 1
+    for open_, close in ("()", "[]"):  # a bracket around the value isn't of it, one within it is
+        if text[a:b].count(open_) > text[a:b].count(close) and text[a] == open_:
+            a += 1
+    if kind == "email" and text[a:b].lower().startswith("mailto:"):
+        a += len("mailto:")
     v = text[a:b]
     digits = sum(c.isdigit() for c in v)
     if kind == "email" and not re.search(r"@|＠|\bat\b", v, re.I) or kind == "phone" and digits < 7 or kind == "id_number" and digits < 6 or kind == "street_address" and (not digits or len(v) < 6):
         return None
-    if kind == "person_name" and (len(v) < 3 or digits):
-        return None
+    if kind == "person_name":
+        low = re.match(r"(?:[^\W\d_A-ZÀ-Þ][^\W\d_]+[\s,]+)+", v)  # a name doesn't begin with a word in lower case
+        a += low.end() if low else 0
+        v = text[a:b]
+        if digits or len(re.findall(r"(?<![^\W\d_])[A-ZÀ-ÞĀ-Ž]", v)) < 2 or re.search(r"[^\W\d_]{4,}\.\s", v):  # one word alone may be anything; no name goes on after a sentence
+            return None
     return (a, b) if v else None
 
 
@@ -381,7 +436,7 @@ def model_for(names: DataFrame) -> Model:
     rows = names.select("person_name", "name_kind").distinct().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"the name list has more than {MOST_NAMES} rows")
-    return train_model(sorted(((r.person_name, r.name_kind) for r in rows), key=str))
+    return train_model(tuple(sorted(((r.person_name, r.name_kind) for r in rows), key=str)))
 
 
 def _mapped(docs: DataFrame, model: Model, with_text: bool):
