@@ -42,11 +42,13 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
     return sides.groupBy("s.u", "s.v").agg(F.count("*").alias("n"))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch | None = None, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, most_rounds: int = 200) -> DataFrame:
     """node, component (the smallest node of it), by alternating large and small stars.
 
     Each round hangs every node's larger neighbours on its smallest one, then its smaller ones; rounds grow as the
-    logarithm of the size of a component. edges: u, v; nodes without an edge are not in it.
+    logarithm of the size of a component, and a run that isn't still after ``most_rounds`` raises. The rows of a star's
+    centre are many; they are reduced before the shuffle, and the join with the centre's one row is split where it is
+    skewed (adaptive execution). edges: u, v; nodes without an edge are not in it.
     """
     spark = edges.sparkSession
     own = scratch or Scratch(spark, "components")
@@ -66,4 +68,6 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, most_
         if (said.n, said.h) == last:
             break
         last = (said.n, said.h)
+    else:
+        raise RuntimeError(f"components not still after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -49,28 +51,51 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one is made only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``. Where the session names none, one is made on a single machine only.
+
+    A folder of one machine would hold but a part of a table on a cluster, so there the setting must be given.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="profilespark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def release_all() -> None:
+    """Deletes all scratch tables of this driver."""
+    while _roots:
+        with contextlib.suppress(Exception):  # the session may be gone, and the folder with it
+            _delete(*_roots.pop())
+
+
 class Scratch:
     """Written tables that cut lineage; each lives in the shared folder until it is released.
 
-    A lost executor costs only the tasks it ran, as the tables are files that all executors share.
+    A lost executor costs only the tasks it ran, as the tables are files that all executors share. What was not released
+    goes when the driver ends, or earlier by ``release_all``, once the results that read it are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.append((spark, self.root))
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -81,12 +106,10 @@ class Scratch:
         return out
 
     def release(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
