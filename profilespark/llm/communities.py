@@ -15,7 +15,9 @@ from profilespark.llm.neighbours import build_graph, neighbour_pairs
 from profilespark.operators.graph import both_ways, connected_components, shared_neighbours, undirected
 from profilespark.session import Scratch
 
-MOVES, LEVELS = 4, 3
+#: A level, and the whole, end when modularity grows by less than this; a run that needs more rounds or levels fails.
+STILL = 1e-4
+MOST_MOVES, MOST_LEVELS = 100, 30
 
 
 def vector_edges(vectors: DataFrame, id_col: str, vector_col: str, least: float, k: int = 10, trees: int = 12, leaf: int = 1200, reverse: int = 20, rounds: int = 12) -> DataFrame:
@@ -42,14 +44,15 @@ def _move(sym: DataFrame, state: DataFrame, total: float, number: int, resolutio
     best = options.groupBy("src", "k", "own").agg(F.max(F.struct("gain", F.when(stays, 1).otherwise(0).alias("stay"), F.xxhash64("comm").alias("h"), "comm")).alias("best"), F.max(F.when(stays, F.col("gain"))).alias("here"))
     may = F.pmod(F.xxhash64("src", F.lit(number)), F.lit(3)) > 0
     goes = may & (F.col("best.gain") > F.col("here") + 1e-9)
-    return best.select(F.col("src").alias("node"), "k", F.when(goes, F.col("best.comm")).otherwise(F.col("own")).alias("comm"), goes.alias("moved"))
+    return best.select(F.col("src").alias("node"), "k", F.when(goes, F.col("best.comm")).otherwise(F.col("own")).alias("comm"), goes.alias("moved"), "here")
 
 
-def modularity_communities(edges: DataFrame, resolution: float = 1.0, moves: int = MOVES, levels: int = LEVELS, scratch: Scratch | None = None) -> DataFrame:
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, still: float = STILL, scratch: Scratch | None = None) -> DataFrame:
     """node, community (the smallest node of it) of every node of the edges u, v, w (w > 0, each pair once).
 
-    A level ends after ``moves`` rounds or when under one node in a hundred moves. Ties go by a hash of the community,
-    so results don't depend on the order of rows.
+    A level ends when no node moves or modularity grows by less than ``still`` in each of two rounds, and the whole ends
+    with a level that brings less. A run that isn't still after MOST_MOVES rounds of a level or MOST_LEVELS levels raises. Ties go by a
+    hash of the community, so results don't depend on the order of rows. No edges give no rows.
     """
     own = scratch or Scratch(edges.sparkSession, "communities")
     now = own.write(edges.where("w > 0 AND u <> v").select("u", "v", F.col("w").cast("double").alias("w")))
@@ -57,32 +60,41 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, moves: int
     found = own.write(sym.select(F.col("src").alias("node")).distinct().withColumn("at", F.col("node")))
     loops: DataFrame | None = None
     total = sym.agg(F.sum("w")).first()[0] or 0.0
-    for level in range(levels if total else 0):
+    for level in range(MOST_LEVELS + 1 if total else 0):
+        if level == MOST_LEVELS:
+            raise RuntimeError(f"communities not still after {MOST_LEVELS} levels")
         degree = sym.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
         if loops is not None:
             degree = degree.unionByName(loops.select("node", F.col("w").alias("k"))).groupBy("node").agg(F.sum("k").alias("k"))
         state = own.write(degree.withColumn("comm", F.col("node")))
-        any_moved = 0
-        for m in range(moves):
-            after = own.write(_move(sym, state.select("node", "k", "comm"), total, 10 * level + m, resolution))
-            said = after.agg(F.count_if("moved").alias("moved"), F.count("*").alias("n")).first()
+        first, values = None, []
+        for m in range(MOST_MOVES + 1):
+            if m == MOST_MOVES:
+                raise RuntimeError(f"communities not still after {MOST_MOVES} rounds of level {level}")
+            after = own.write(_move(sym, state.select("node", "k", "comm"), total, 1000 * level + m, resolution))
+            # The sum of what each node has in its community differs from modularity by what a level doesn't change.
+            said = after.agg(F.count_if("moved").alias("moved"), F.sum("here").alias("here")).first()
+            values.append(said.here / total)
+            first = values[0] if first is None else first
             own.release(state)
-            state, any_moved = after, any_moved + said.moved
-            if said.moved * 100 < said.n:
+            state = after
+            if not said.moved or len(values) > 2 and values[-1] - values[-3] < 2 * still:
                 break
-        if not any_moved:
+        if not said.moved and len(values) == 1:
             break
-        labels = state.groupBy("comm").agg(F.min("node").alias("to")).join(state.select("node", "comm"), "comm").select("node", "to")
-        labels = own.write(labels)
-        found = own.write(found.join(labels.withColumnRenamed("node", "at"), "at").select("node", F.col("to").alias("at")))
+        labels = own.write(state.groupBy("comm").agg(F.min("node").alias("to")).join(state.select("node", "comm"), "comm").select("node", "to"))
+        own.release(state)
+        found_next = own.write(found.join(labels.withColumnRenamed("node", "at"), "at").select("node", F.col("to").alias("at")))
         flat = sym.join(labels.withColumnsRenamed({"node": "src", "to": "s"}), "src").join(labels.withColumnsRenamed({"node": "dst", "to": "d"}), "dst")
         flat = flat.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w"))
         if loops is not None:
             old = loops.join(labels, "node").select(F.col("to").alias("src"), F.col("to").alias("dst"), "w")
             flat = flat.unionByName(old).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-        flat = own.write(flat)
-        loops, sym = flat.where("src = dst").select(F.col("src").alias("node"), "w"), flat.where("src <> dst")
-        if sym.isEmpty():
+        flat_next = own.write(flat)
+        own.release(found, now, labels)
+        found, now = found_next, flat_next
+        loops, sym = flat_next.where("src = dst").select(F.col("src").alias("node"), "w"), flat_next.where("src <> dst")
+        if values[-1] - first < still or sym.isEmpty():
             break
     least = found.groupBy("at").agg(F.min("node").alias("community"))
     return found.join(least, "at").select("node", "community")
@@ -113,29 +125,20 @@ def strong_edges(proteins: DataFrame, connectivities: DataFrame, least: float =
     return e.join(known.withColumnRenamed("obs_id", "u"), "u", "left_semi").join(known.withColumnRenamed("obs_id", "v"), "v", "left_semi").select("u", "v", "w")
 
 
-def ties(strong: DataFrame, least: int = 2) -> DataFrame:
-    """The strong edges whose ends have at least ``least`` strong neighbours in common."""
-    return strong.join(shared_neighbours(strong).where(F.col("n") >= least), ["u", "v"]).select("u", "v", "w")
-
-
 def tied_clusters(proteins: DataFrame, connectivities: DataFrame, least_size: int = 4) -> DataFrame:
     """cluster_obs_id, obs_id: largest sets of proteins connected through ties, of ``least_size`` or more.
 
-    Communities of the graph of ties are found by modularity; as a tie may also join two communities, communities
-    are then merged along such ties, and a community without an inner path is split, which makes the sets exact.
+    Ties may join two communities and needn't join all of one, so modularity can't give these sets: they are the connected
+    components of the ties. Nodes are numbered first, so that the rounds move numbers and not strings.
     """
     scratch = Scratch(proteins.sparkSession, "clusters")
     strong = scratch.write(strong_edges(proteins, connectivities))
-    tied = scratch.write(ties(strong))
-    labels = scratch.write(modularity_communities(tied, scratch=scratch))
-    # A move along an edge keeps a node joined to some member, but members may leave later: what is connected within
-    # a community is contracted to a star, and stars are joined by the ties between them.
-    ends = tied.join(labels.withColumnsRenamed({"node": "u", "community": "a"}), "u").join(labels.withColumnsRenamed({"node": "v", "community": "b"}), "v")
-    parts = scratch.write(connected_components(ends.where("a = b"), scratch))
-    part = labels.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    part = scratch.write(part)
-    across = ends.where("a <> b").select("u", "v").join(part.withColumnsRenamed({"node": "u", "part": "p"}), "u").join(part.withColumnsRenamed({"node": "v", "part": "q"}), "v")
-    merged = connected_components(across.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch)
-    whole = part.join(merged.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("c"))
-    by = whole.groupBy("c").agg(F.count("*").alias("n"), F.min("node").alias("cluster_obs_id")).where(F.col("n") >= least_size)
-    return whole.join(by, "c").select("cluster_obs_id", F.col("node").alias("obs_id"))
+    ids = scratch.write(strong.select(F.explode(F.array("u", "v")).alias("obs_id")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    numbered = strong.join(ids.withColumnsRenamed({"obs_id": "u", "n": "a"}), "u").join(ids.withColumnsRenamed({"obs_id": "v", "n": "b"}), "v")
+    numbered = scratch.write(numbered.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    tied = scratch.write(shared_neighbours(numbered).where("n >= 2").select("u", "v"))
+    parts = scratch.write(connected_components(tied, scratch))
+    scratch.release(strong, numbered, tied)
+    known = scratch.write(parts.join(ids.withColumnRenamed("n", "node"), "node").select("component", "obs_id"))
+    by = known.groupBy("component").agg(F.count("*").alias("n"), F.min("obs_id").alias("cluster_obs_id")).where(F.col("n") >= least_size)
+    return known.join(by, "component").select("cluster_obs_id", "obs_id")
