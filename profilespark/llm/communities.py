@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilespark.llm.neighbours import build_graph, neighbour_pairs
+from profilespark.llm.neighbours import build_graphs, neighbours_of_all
 from profilespark.operators.graph import both_ways, connected_components, shared_neighbours, undirected
 from profilespark.session import Scratch
 
@@ -26,8 +26,8 @@ def vector_edges(vectors: DataFrame, id_col: str, vector_col: str, least: float,
     Descent has more trees, larger leaves and more rounds than ``build_graph`` has without being told, as leaves get
     lost with the depth of the trees; it ends when few entries change.
     """
-    g = build_graph(vectors, id_col, vector_col, floor=least, trees=trees, leaf=leaf, reverse=reverse, rounds=rounds)
-    pairs = neighbour_pairs(g, k).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), F.col("sim").cast("double").alias("w"))
+    graphs = build_graphs(vectors, id_col, vector_col, floor=least, trees=trees, leaf=leaf, reverse=reverse, rounds=rounds)
+    pairs = neighbours_of_all(graphs, k, least).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), F.col("sim").cast("double").alias("w"))
     return pairs.groupBy("u", "v").agg(F.max("w").alias("w"))
 
 

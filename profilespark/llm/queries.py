@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +20,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return N.similar_pairs(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", 0.96)
 
 
+#: What the whole graph is built with: lists of 20, of which 10 come out.
+WHOLE = {"k": 20, "trees": 8, "leaf": 1000, "reverse": 24, "rounds": 10}
+
+
 def p1_graph(spark: SparkSession, d: str) -> DataFrame:
     """The whole neighbour graph: the 10 most similar proteins of each, whatever their similarity."""
-    g = N.build_graph(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", trees=12, leaf=1200, reverse=20, rounds=6)
-    return N.neighbour_pairs(g, 10).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.round("sim", 4).alias("similarity"), "rank")
+    graphs = N.build_graphs(read_table(spark, d, "protein_pca"), "obs_id", "x_pca", **WHOLE)
+    return N.neighbours_of_all(graphs, 10).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.round("sim", 4).alias("similarity"), "rank")
 
 
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar vectors of every vector whose id is divisible by 20, by greedy search in the graph of all."""
-    all_ = read_table(spark, d, "embeddings").select("vec_id", "embedding")
-    g = N.build_graph(all_, "vec_id", "embedding", trees=8)
-    asked = N.unit_vectors(all_.where("vec_id % 20 = 0"), "vec_id", "embedding").select("id", "vec")
-    found = N.greedy_search(g, asked, k=10)
-    return found.select(F.col("query").cast("long").alias("query_id"), F.col("id").cast("long").alias("vec_id"), F.round("sim", 4).alias("similarity"), "rank")
+    """The 10 most similar proteins of every protein whose id's hash is divisible by 20, by greedy search in the graph of all."""
+    all_ = read_table(spark, d, "protein_pca").select("obs_id", "x_pca")
+    asked = N.unit_vectors(all_.where(F.pmod(F.xxhash64("obs_id"), F.lit(20)) == 0), "obs_id", "x_pca")
+    found = [N.greedy_search(g, asked.where(F.col("dim") == g.dim).select("id", "vec"), k=10) for g in N.build_graphs(all_, "obs_id", "x_pca", **WHOLE)]
+    return reduce(DataFrame.unionByName, found).select(F.col("query").alias("obs_id"), F.col("id").alias("other"), F.round("sim", 4).alias("similarity"), "rank")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

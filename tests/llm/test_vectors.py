@@ -47,6 +47,9 @@ def test_copies_are_not_all_paired(spark):
 
 def test_graph_and_search(spark, vectors):
     ids, x, df = vectors
+    with pytest.raises(ValueError):
+        N.build_graph(df, "id", "vec")
+    df = df.where("id IS NULL OR id <> 'short'")
     g = N.build_graph(df, "id", "vec", k=12, trees=8, leaf=120, rounds=4)
     want, u = {}, x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
@@ -59,12 +62,48 @@ def test_graph_and_search(spark, vectors):
     assert sum(len(want[v] & got.get(v, set())) for v in ids) >= 0.9 * 10 * len(ids)
     asked = N.unit_vectors(df.where("id LIKE '%0'"), "id", "vec").select("id", "vec")
     found: dict = {}
-    for r in N.greedy_search(g, asked, k=10, beam=48).collect():
+    for r in N.greedy_search(g, asked, k=10, entries=60).collect():
         found.setdefault(r.query, set()).add(r.id)
     q = [v for v in ids if v.endswith("0")]
     assert sum(len(want[v] & found.get(v, set())) for v in q) >= 0.9 * 10 * len(q)
 
 
+def test_each_length_on_its_own(spark):
+    rows = [(f"a{i}", [1.0, 0.1 * i]) for i in range(4)] + [(f"b{i}", [1.0, 0.1 * i, 0.0]) for i in range(4)] + [("c0", [1.0])]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    got = {tuple(r) for r in N.similar_pairs(df, "id", "vec", 0.9).collect()}
+    assert got == {(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(4) for j in range(i + 1, 4)}
+
+
+def test_leaves_beyond_the_sample(spark, vectors):
+    """A small sample carries few levels; the rest comes from medians, and leaves stay near the size asked for."""
+    _, x, df = vectors
+    nodes = N.unit_vectors(df.where("id NOT IN ('short')"), "id", "vec").selectExpr("CAST(substring(id, 2) AS LONG) AS node", "vec")
+    lists = N.first_lists(nodes, 16, 5, -1.5, trees=3, leaf=30, sample_rows=24).toPandas()
+    assert lists.u.nunique() == len(x) and lists.groupby("u").size().max() <= 15
+    full = N.first_lists(nodes, 16, 5, -1.5, trees=3, leaf=30).toPandas()
+    assert lists.sim.mean() >= full.sim.mean() - 0.1
+
+
+def test_planted_communities(spark):
+    """Groups drawn denser inside than between are found again: normalised mutual information of 0.9 or more."""
+    rng = np.random.default_rng(4)
+    of = np.repeat(np.arange(10), 40)
+    i, j = np.triu_indices(len(of), 1)
+    there = rng.random(len(i)) < np.where(of[i] == of[j], 0.25, 0.01)
+    edges = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", 1.0) for a, b in zip(i[there], j[there])], "u string, v string, w double")
+    found = {r.node: r.community for r in C.modularity_communities(edges).collect()}
+    table = np.zeros((10, len(set(found.values()))))
+    col = {c: k for k, c in enumerate(sorted(set(found.values())))}
+    for n, c in found.items():
+        table[of[int(n[1:])], col[c]] += 1
+    p = table / table.sum()
+    a, b = p.sum(1, keepdims=True), p.sum(0, keepdims=True)
+    h = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
+    nmi = 2 * (p[p > 0] * np.log((p / (a @ b))[p > 0])).sum() / (h(a) + h(b))
+    assert nmi >= 0.9
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, vec array<float>")
     assert N.similar_pairs(df, "id", "vec", 0.9).count() == 0
