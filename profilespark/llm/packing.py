@@ -3,18 +3,24 @@
 Items are hashed to shards of about SHARD_CONTAINERS containers. For each shard some islands breed packings of their own:
 a child gets whole well-filled containers of one parent, loses the other's containers that hold the same items, and what
 falls out is put back by best fit. Between epochs the best packing of each island moves to the next one. What ends in
-ill-filled containers is taken out of all shards, hashed anew and packed again, so that what shards leave over is shared.
+ill-filled containers is taken out of all shards, hashed anew and packed again, so that what shards leave over is shared,
+until what is left of a budget is one shard. The first packing of an island is best fit from the largest item down; a
+shard in which that needs no more containers than there can be at least is done, and the others are bred.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,21 +33,29 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SHARD_CONTAINERS = 128
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 5
+#: Islands of a shard, times they breed with a migration between, generations each time, and packings on an island.
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 8, 8
 #: Containers filled less than this share of the capacity are taken apart for the next round.
-WELL_FILLED = 0.985
-ROUNDS = 4
+WELL_FILLED = 0.999
+#: Budgets are few and fixed; more are refused.
+MOST_BUDGETS = 1000
 
 Packing = list[list[int]]  # containers, each a list of item numbers
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens: one row per document; null and empty texts have 0 tokens; copies of a row count once."""
+    """doc_id, n_tokens: one row per document; null and empty texts have 0 tokens; copies of a row count once.
+
+    The tokenizer's file is sent to the executors, which need no copy of it.
+    """
+
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = Path(tokenizer).name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(SparkFiles.get(name), "rb"))}
         encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             counts = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch["text"]]
@@ -51,6 +65,14 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return source.mapInPandas(run, "doc_id long, n_tokens long").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+@dataclass(frozen=True)
+class Breeding:
+    islands: int = ISLANDS
+    epochs: int = EPOCHS
+    generations: int = GENERATIONS
+    population: int = POPULATION
+
+
 class Open:
     """Containers that still have room, found by best fit: the least room that is enough."""
 
@@ -165,7 +187,7 @@ def _decoded(b: bytes) -> Packing:
 _STATE = "budget_id int, shard long, island int, capacity long, items binary, best binary, guest binary, done boolean, score double"
 
 
-def _epoch(epoch: int, keep_guest: bool):
+def _epoch(epoch: int, how: Breeding):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -174,7 +196,7 @@ def _epoch(epoch: int, keep_guest: bool):
                 elites = [_decoded(e) for e in (x.best, x.guest) if e]
                 if not x.done:
                     seed = (int(x.budget_id) * 1_000_003 + int(x.shard)) * 31 + int(x.island) * 7 + epoch
-                    elites = evolve(sizes, int(x.capacity), elites, seed)
+                    elites = evolve(sizes, int(x.capacity), elites, seed, how.generations, how.population)
                 best = elites[0]
                 done = len(best) <= max(1, -(-sum(sizes) // int(x.capacity)))
                 rows.append((x.budget_id, x.shard, x.island, x.capacity, x.items, _coded(best, len(sizes)), b"", done, fitness(best, sizes, int(x.capacity))))
@@ -193,7 +215,7 @@ def _unpack_ints(b: pd.Series) -> pd.Series:
     return b.map(lambda x: np.frombuffer(x, np.int32).tolist())
 
 
-def _packed_round(items: DataFrame, scratch: Scratch, number: int) -> DataFrame:
+def _packed_round(items: DataFrame, scratch: Scratch, number: int, how: Breeding) -> DataFrame:
     """One round over items (budget_id, capacity, shard, doc_id, piece_no, size): the items with bin and bin_fill."""
     entry = F.struct(F.col("size"), F.col("doc_id"), F.col("piece_no"))
     shards = items.groupBy("budget_id", "capacity", "shard").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
@@ -201,15 +223,17 @@ def _packed_round(items: DataFrame, scratch: Scratch, number: int) -> DataFrame:
     spark = items.sparkSession
     cores = spark.sparkContext.defaultParallelism
     state = shards.select(
-        "budget_id", "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "capacity", _pack_longs(F.col("entries.size")).alias("items"),
+        "budget_id", "shard", F.explode(F.array(*[F.lit(i) for i in range(how.islands)])).alias("island"), "capacity", _pack_longs(F.col("entries.size")).alias("items"),
         F.lit(b"").alias("best"), F.lit(b"").alias("guest"), F.lit(False).alias("done"), F.lit(0.0).alias("score"),
     ).repartition(4 * cores, "budget_id", "shard", "island")
-    for epoch in range(EPOCHS):
-        if epoch:  # the best of each island visits the next; a shard that is done takes no part
-            guest = state.where("NOT done").select("budget_id", "shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("visitor"))
+    for epoch in range(how.epochs):
+        if epoch and state.where("NOT done").isEmpty():
+            break
+        if epoch and how.islands > 1:  # the best of each island visits the next; a shard that is done takes no part
+            guest = state.where("NOT done").select("budget_id", "shard", ((F.col("island") + 1) % how.islands).alias("island"), F.col("best").alias("visitor"))
             state = state.drop("guest").join(guest, ["budget_id", "shard", "island"], "left").withColumn("guest", F.coalesce("visitor", F.lit(b""))).drop("visitor")
             state = state.select(*[c.split()[0] for c in _STATE.split(", ")])
-        state = scratch.write(state.mapInPandas(_epoch(epoch, True), _STATE))
+        state = scratch.write(state.mapInPandas(_epoch(epoch, how), _STATE))
     best = state.groupBy("budget_id", "shard").agg(F.max_by("best", F.struct("score", -F.col("island"))).alias("best"))
     placed = shards.join(best, ["budget_id", "shard"]).select("budget_id", "capacity", "shard", F.explode(F.arrays_zip("entries", _unpack_ints("best").alias("bin"))).alias("e"))
     placed = placed.select("budget_id", "capacity", "shard", "e.entries.doc_id", "e.entries.piece_no", "e.entries.size", F.col("e.bin").alias("bin"))
@@ -227,7 +251,7 @@ def _sharded(items: DataFrame, seed: int) -> tuple[DataFrame, int]:
     return items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(seed)), number[F.col("budget_id")]).cast("long")), sum(shards.values())
 
 
-def pack(docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER, how: Breeding = Breeding()) -> DataFrame:
     """budget_id, container_id, doc_id, piece_no, token_start, token_end: which tokens of which document go where.
 
     A document longer than the capacity is cut into pieces of just the capacity, which fill a container each, and a
@@ -236,7 +260,9 @@ def pack(docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -> Dat
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    caps = [(r.budget_id, r.capacity_tokens) for r in budgets.where("capacity_tokens > 0").select("budget_id", "capacity_tokens").distinct().limit(1000).collect()]
+    caps = [(r.budget_id, r.capacity_tokens) for r in budgets.where("capacity_tokens > 0").select("budget_id", "capacity_tokens").distinct().limit(MOST_BUDGETS + 1).collect()]
+    if len(caps) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets")
     counts = scratch.write(token_counts(docs, tokenizer))
     out_cols = ["budget_id", "container_id", "doc_id", "piece_no", "token_start", "token_end"]
     if not caps:
@@ -251,13 +277,16 @@ def pack(docs: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -> Dat
     )
     rest = each.select("budget_id", "capacity", "doc_id", whole.alias("piece_no"), (F.col("n_tokens") % F.col("capacity")).alias("size")).where("size > 0 OR piece_no = 0")
     items, results = rest, []
-    for number in range(ROUNDS):
+    before = None
+    for number in itertools.count():
         items, n_shards = _sharded(items, number)
         if not n_shards:
             break
-        placed = _packed_round(items, scratch, number)
+        placed = _packed_round(items, scratch, number, how)
         ill = F.col("bin_fill") < WELL_FILLED * F.col("capacity")
-        if number + 1 == ROUNDS or n_shards <= len(caps):
+        stuck = before is not None and n_shards > 0.9 * before  # what is left is not of a kind that fills containers
+        before = n_shards
+        if stuck or n_shards <= len(caps):
             results.append(placed)
             break
         results.append(placed.where(~ill))
