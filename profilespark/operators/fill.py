@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,14 @@ NOTHING = (
 )
 
 DAY = 86_400
+#: Rows of an entity that one task may put in order.
+HOT_ROWS = 200_000
 
 
-def states_nothing(c: Column) -> Column:
-    """Null, blank, punctuation only, or a stand-in for nothing in any letter case."""
+def states_nothing(c: Column, stand_ins: Sequence[str] = NOTHING) -> Column:
+    """Null, blank, punctuation only, or one of the stand-ins for nothing in any letter case."""
     bare = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    return c.isNull() | (bare == "") | bare.isin(*NOTHING)
+    return c.isNull() | (bare == "") | bare.isin(*stand_ins)
 
 
 def missing_number(c: Column) -> Column:
@@ -37,6 +41,17 @@ def latest(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(newest.alias("_n")).select(*keys, F.col("_n.v").alias(value))
 
 
+def _beside(rows: DataFrame, part: list[str], tie: str, seen: Column) -> DataFrame:
+    """The rows with the observed record before (_p) and after (_n) each within its part.
+
+    What is observed is put together after the rows are brought together, so it doesn't cross the network.
+    """
+    inside = Window.partitionBy(*part).orderBy("_t", tie)
+    rows = rows.repartition(*part).withColumn("_seen", seen)
+    rows = rows.withColumn("_p", F.last("_seen", True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.withColumn("_n", F.first("_seen", True).over(inside.rowsBetween(1, Window.unboundedFollowing))).drop("_seen")
+
+
 def fill_in_time(
     df: DataFrame,
     entity: list[str],
@@ -47,6 +62,7 @@ def fill_in_time(
     numeric: bool,
     max_gap_s: int | None = None,
     chunk_s: int = DAY,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds <value>_filled, fill_method, fill_distance_s and fill_source (the tie column of the records used).
 
@@ -55,31 +71,36 @@ def fill_in_time(
     records beyond the gap limit exist, the nearest of them is carried as "beyond_gap", so that the caller may
     refuse it. Methods: observed, interpolated, carried_forward, carried_backward, beyond_gap, unfilled.
 
-    An entity may hold a large part of all rows, so its rows are never put in order in one task: rows are ordered
-    within chunks of chunk_s seconds, and what is last and first in a chunk is passed on over one row per chunk.
-    Rows without a time are taken as of the epoch. A record whose entity has a null is never filled.
+    An entity may hold a large part of all rows, so the rows of an entity of more than ``hot_rows`` are never put in order
+    in one task: they are ordered within chunks of chunk_s seconds, and what is last and first in a chunk is passed on
+    over one row per chunk. df is read twice, first to count the rows of entities. Rows without a time are taken as of
+    the epoch. A record whose entity has a null is never filled.
     """
     whole = F.lit(True)
     for c in entity:
         whole = whole & F.col(c).isNotNull()
     ts = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(0))
     seen = F.when(~absent, F.struct(F.col("_t").alias("t"), F.col(tie).alias("id"), F.col(value).alias("v")))
-    rows = df.withColumn("_t", ts).withColumn("_chunk", F.floor(F.col("_t") / (chunk_s * 1_000_000))).withColumn("_seen", seen)
-    part = [*entity, "_chunk"]
-    inside = Window.partitionBy(*part).orderBy("_t", tie)
-    rows = rows.withColumn("_p", F.last("_seen", True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_n", F.first("_seen", True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
-    rows = rows.drop("_seen")
-
-    chunks = df.select(*entity, value, tie, ts.alias("_t")).withColumn("_chunk", F.floor(F.col("_t") / (chunk_s * 1_000_000))).withColumn("_seen", seen)
-    present = chunks.groupBy(*part).agg(F.min("_seen").alias("_first"), F.max("_seen").alias("_last"))
-    across = Window.partitionBy(*entity).orderBy("_chunk")
-    present = present.select(
-        *part,
-        F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_pc"),
-        F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_nc"),
-    )
-    rows = rows.join(present, part, "left").withColumn("_p", F.coalesce("_p", "_pc")).withColumn("_n", F.coalesce("_n", "_nc"))
+    same = lambda other: [df[c].eqNullSafe(other[f"_k{i}"]) for i, c in enumerate(entity)]
+    hot = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(entity)]).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).drop("_rows")
+    hot = Scratch(df.sparkSession, "hot").write(hot)  # at most a row for every hot_rows rows
+    if hot.isEmpty():
+        rows = _beside(df.withColumn("_t", ts), entity, tie, seen)
+    else:
+        cold = _beside(df.join(F.broadcast(hot), same(hot), "left_anti").withColumn("_t", ts), entity, tie, seen)
+        many = df.join(F.broadcast(hot), same(hot), "left_semi").withColumn("_t", ts).withColumn("_chunk", F.floor(F.col("_t") / (chunk_s * 1_000_000)))
+        part = [*entity, "_chunk"]
+        rows = _beside(many, part, tie, seen)
+        present = many.groupBy(*part).agg(F.min(seen).alias("_first"), F.max(seen).alias("_last"))
+        across = Window.partitionBy(*entity).orderBy("_chunk")
+        present = present.select(
+            *[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)],
+            F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_pc"),
+            F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_nc"),
+        )
+        rows = rows.join(present, [rows[c].eqNullSafe(present[f"_k{i}"]) for i, c in enumerate(part)], "left")
+        rows = rows.withColumn("_p", F.coalesce("_p", "_pc")).withColumn("_n", F.coalesce("_n", "_nc"))
+        rows = cold.unionByName(rows.select(*cold.columns))
 
     dp, dn = F.col("_t") - F.col("_p.t"), F.col("_n.t") - F.col("_t")
     limit = F.lit(2**62 if max_gap_s is None else max_gap_s * 1_000_000)
@@ -124,10 +145,13 @@ def fill_cells(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return fill_in_time(rows, ["obs_id", "dataset", "covariate_bait"], "acquired_at", "var_id", "x", missing_number(F.col("x")), numeric=True)
 
 
-def fill_design(samples: DataFrame, max_gap_s: int = 30 * DAY) -> DataFrame:
-    """The design table, its unstated enrichment targets carried from the bait's other samples in the dataset."""
+def fill_design(samples: DataFrame, max_gap_s: int = 30 * DAY, stand_ins: Sequence[str] = NOTHING) -> DataFrame:
+    """The design table, its unstated enrichment targets carried from the bait's other samples in the dataset.
+
+    ``stand_ins`` are the words that state nothing; where one of them is a target, the caller gives a list without it.
+    """
     return fill_in_time(
-        design(samples), ["dataset", "covariate_bait"], "acquired_at", "var_id", "subcellular_enrichment", states_nothing(F.col("subcellular_enrichment")), numeric=False, max_gap_s=max_gap_s, chunk_s=7 * DAY
+        design(samples), ["dataset", "covariate_bait"], "acquired_at", "var_id", "subcellular_enrichment", states_nothing(F.col("subcellular_enrichment"), stand_ins), numeric=False, max_gap_s=max_gap_s, chunk_s=7 * DAY
     )
 
 

@@ -32,6 +32,8 @@ _GAP = re.compile(r"[;,|/+&\s]*")
 _END = re.compile(r"\s*(?:[;,|/+&]|\Z)|\s+")
 _RUN = re.compile(r"[^;,|/+&\s()\[\]]+")
 _SPACE = re.compile(r"\s+")
+#: Marks that part values and stand in no remark, so that "NA; A" is two values.
+_PARTED = re.compile(r"[;|+&]")
 _QUOTED = {'"': re.compile(r'"((?:[^"]|"")*+)"'), "'": re.compile(r"'((?:[^']|'')*+)'")}
 _CLOSE = {"(": ")", "[": "]"}
 
@@ -116,7 +118,7 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rows = []
         for text in texts:
             parsed = parse_packed(text)
-            rows.append([] if parsed and is_remark([p[1] for p in parsed]) else parsed)
+            rows.append([] if parsed and is_remark([p[1] for p in parsed]) and not _PARTED.search(text) else parsed)
         yield pd.Series([[{"pos": p, "value": v, "kind": k, "flag": f} for p, v, k, f in r] for r in rows], dtype=object)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilespark.operators.fill import fill_cells, fill_design, filled_cases
+from profilespark.operators.fill import NOTHING, fill_cells, fill_design, filled_cases
 from profilespark.operators.packed import split_packed
 from profilespark.session import read_table
 
@@ -88,4 +88,18 @@ SELECT obs_id, var_id, injection, round(CASE WHEN v IS NOT NULL THEN v
     ELSE coalesce(a.v, b.v) END, 6) AS x_filled,
   CASE WHEN v IS NOT NULL THEN 'observed' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'interpolated'
     WHEN a IS NOT NULL THEN 'carried_forward' WHEN b IS NOT NULL THEN 'carried_backward' ELSE 'unfilled' END AS fill_method FROM w""",
+    "p4_design": r"""
+WITH s AS (SELECT * FROM samples WHERE var_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY var_id ORDER BY coalesce(registered_at, TIMESTAMP '1970-01-01') DESC,
+    dataset DESC NULLS LAST, covariate_bait DESC NULLS LAST, subcellular_enrichment DESC NULLS LAST, acquired_at DESC NULLS LAST) = 1),
+d AS (SELECT var_id, dataset, covariate_bait, epoch_us(coalesce(acquired_at, TIMESTAMP '1970-01-01')) AS t,
+    CASE WHEN regexp_replace(lower(subcellular_enrichment), '[^\p{L}\p{N}]', '', 'g') NOT IN ('', %s) THEN subcellular_enrichment END AS v FROM s),
+n AS (SELECT *, CASE WHEN v IS NOT NULL THEN {'t': t, 'id': var_id, 'v': v} END AS p FROM d),
+w AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY dataset, covariate_bait ORDER BY t, var_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+    first_value(p IGNORE NULLS) OVER (PARTITION BY dataset, covariate_bait ORDER BY t, var_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM n),
+m AS (SELECT *, CASE WHEN v IS NOT NULL THEN 'observed' WHEN dataset IS NULL OR covariate_bait IS NULL THEN 'unfilled' WHEN t - a.t <= 2592000000000 THEN 'carried_forward'
+    WHEN b.t - t <= 2592000000000 THEN 'carried_backward' WHEN a IS NOT NULL OR b IS NOT NULL THEN 'beyond_gap' ELSE 'unfilled' END AS fill_method,
+    CASE WHEN b IS NULL OR (a IS NOT NULL AND t - a.t <= b.t - t) THEN a ELSE b END AS near FROM w)
+SELECT var_id, fill_method, CASE fill_method WHEN 'observed' THEN v WHEN 'carried_forward' THEN a.v WHEN 'carried_backward' THEN b.v WHEN 'beyond_gap' THEN near.v END AS subcellular_enrichment_filled,
+    CASE fill_method WHEN 'carried_forward' THEN a.id WHEN 'carried_backward' THEN b.id WHEN 'beyond_gap' THEN near.id END AS fill_source FROM m"""
+    % ", ".join(f"'{w}'" for w in NOTHING),
 }

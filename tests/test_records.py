@@ -38,6 +38,11 @@ def test_remarks():
     assert not is_remark(values("YMJWFDDE"))
 
 
+def test_values_that_look_like_remarks(spark):
+    df = spark.createDataFrame([(1, "NA; A"), (2, "n/a"), (3, "pending, ask curator"), (4, "id|A")], "record_id long, f string")
+    assert rows(split_packed(df, "record_id", ["f"], "v"), "record_id", "v") == [(1, "A"), (1, "NA"), (4, "A"), (4, "id")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abZ09;,|/+& \"'()", min_size=1, max_size=8), min_size=1, max_size=5), st.sampled_from([";", ",", "|", "/", "+", "&", "\t", "\n"]))
 def test_round_trip_of_quoted_values(vals, sep):
@@ -74,8 +79,8 @@ def test_fill_methods_and_chunks(spark):
     df = spark.createDataFrame([(e, at(h), i, x) for e, h, i, x in data], "k string, t timestamp, id string, x double")
     import pyspark.sql.functions as F
 
-    for chunk in (3600, 86400, 10**9):
-        got = {(r.k, r.id): (r.x_filled, r.fill_method) for r in fill_in_time(df, ["k"], "t", "id", "x", missing_number(F.col("x")), True, max_gap_s=80 * 3600, chunk_s=chunk).collect()}
+    for chunk, hot in ((3600, 1), (86400, 2), (10**9, 1), (3600, 10**6)):
+        got = {(r.k, r.id): (r.x_filled, r.fill_method) for r in fill_in_time(df, ["k"], "t", "id", "x", missing_number(F.col("x")), True, max_gap_s=80 * 3600, chunk_s=chunk, hot_rows=hot).collect()}
         assert got["e", "b"] == (2.0, "interpolated") and got["e", "d"] == (3.0, "beyond_gap") and got["g", "a"] == (7.0, "carried_backward")
         assert got["f", "a"] == (None, "unfilled") and got[None, "a"] == (None, "unfilled") and got["e", "a"] == (1.0, "observed")
 
@@ -86,7 +91,7 @@ def test_fill_against_brute_force(spark):
     df = spark.createDataFrame([(e, at(h), i, x) for e, h, i, x in data], "k string, t timestamp, id string, x double")
     import pyspark.sql.functions as F
 
-    got = {r_.id: (r_.x_filled, r_.fill_method) for r_ in fill_in_time(df, ["k"], "t", "id", "x", missing_number(F.col("x")), True).collect()}
+    got = {r_.id: (r_.x_filled, r_.fill_method) for r_ in fill_in_time(df, ["k"], "t", "id", "x", missing_number(F.col("x")), True, hot_rows=70).collect()}
     ok = lambda x: x is not None and x == x and x != 0
     for e, h, i, x in data:
         before = [(h2, i2, x2) for e2, h2, i2, x2 in data if e2 == e and ok(x2) and (h2, i2) < (h, i)]
