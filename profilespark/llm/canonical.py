@@ -35,7 +35,8 @@ def clean(e: str) -> str:
     return e.replace("{", "{{").replace("}", "}}")  # braces name tables in the statements below
 
 
-#: Edits allowed for a reference string of n letters and digits.
+#: Edits allowed for a reference string of n letters and digits: about one in four. Strings under five allow none, as one edit
+#: makes another word of them; a value further off means no entry and is reported.
 EDITS = "CASE WHEN n >= 12 THEN 4 WHEN n >= 8 THEN 3 WHEN n >= 6 THEN 2 WHEN n = 5 THEN 1 ELSE 0 END"
 MOST_EDITS = 4
 

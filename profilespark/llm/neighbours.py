@@ -15,7 +15,7 @@ collection has a graph of its own.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,9 +27,9 @@ from profilespark.session import Scratch, broadcast_if_small
 
 #: Vectors the trees are fitted on; the bound is for the driver's memory, all vectors are indexed.
 SAMPLE = 20_000
-LEAF, TREES, NEIGHBOURS, REVERSE, ROUNDS = 600, 5, 12, 12, 3
+LEAF, TREES, NEIGHBOURS, REVERSE, ROUNDS = 600, 4, 12, 12, 4
 #: Entries a list has whatever the floor; lengths of vectors in one collection, each of which costs a graph of its own.
-BELOW_FLOOR, MOST_LENGTHS = 2, 50
+BELOW_FLOOR, MOST_LENGTHS = 1, 50
 #: Leaf similarities come from vectors of 8-bit numbers; this much is allowed for below a floor until they are exact.
 CODE_ERROR = 0.015
 #: The same for a pair of the descent against the entry it must beat; a wider one makes more exact comparisons.
@@ -247,6 +247,15 @@ def exact_similarity(edges: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long, sim float")
 
 
+def _weighed(pairs: DataFrame, nodes: DataFrame, dim: int, floor: float) -> DataFrame:
+    """u, v, sim both ways: exact where it may reach the floor; below it, where entries only lead the descent on, by codes."""
+    if floor <= -1:
+        return _both_ways(exact_similarity(pairs, nodes, dim))
+    may = F.col("sim") >= floor - CODE_ERROR
+    below = pairs.where(~may).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim")
+    return _both_ways(exact_similarity(pairs.where(may), nodes, dim).unionByName(below))
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "sim").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
 
@@ -260,16 +269,17 @@ def _around(lists: DataFrame, codes: DataFrame, k: int, floor: float, reverse: i
     rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("fresh"), F.desc("sim"), "m"))
     back = back.withColumn("rank", rank).where(F.col("rank") <= reverse).drop("rank")
     members = lists.select(F.col("u").alias("c"), F.col("v").alias("m"), "sim", "fresh").unionByName(back)
-    members = members.groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
+    # Only around a vector that has something new there is anything to compare; the others' codes aren't moved.
+    members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("c"))).where("any").groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
     short = F.when(F.col("n") <= BELOW_FLOOR, F.least(F.when(F.col("n") < BELOW_FLOOR, F.lit(-2.0)).otherwise(F.col("low")), F.lit(floor))).otherwise(floor)
     worst = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("m"), F.when(F.col("n") >= k, F.col("low")).otherwise(short).cast("float").alias("worst"))
     members = members.join(codes.withColumnRenamed("node", "m"), "m").join(worst, "m", "left")
     entry = F.struct("m", "fresh", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "code")
-    return members.groupBy("c").agg(F.collect_list(entry).alias("e"), F.max("fresh").alias("any")).where("any").select("e")
+    return members.groupBy("c").agg(F.collect_list(entry).alias("e")).select("e")
 
 
 def descend(lists: DataFrame, codes: DataFrame, dim: int, k: int, floor: float, reverse: int) -> DataFrame:
-    """u < v: pairs of neighbours of a vector that may be better, by their codes, than the worst entry of either list."""
+    """u < v, sim by codes: pairs of neighbours of a vector that may be better than the worst entry of either list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,12 +300,15 @@ def descend(lists: DataFrame, codes: DataFrame, dim: int, k: int, floor: float,
                     a, c = part[:, i], part[:, j]
                     ok = (fresh[a] | fresh[c]) & ((s > worst[a]) | (s > worst[c])) & (ids[a] != ids[c])
                     p, q = ids[a[ok]], ids[c[ok]]
-                    got.append(np.stack((np.minimum(p, q), np.maximum(p, q)), 1))
-            pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+                    got.append((np.minimum(p, q), np.maximum(p, q), s[ok]))
+            if got:
+                p, q, s = (np.concatenate(c) for c in zip(*got))
+                order = np.lexsort((q, p))
+                p, q, s = p[order], q[order], s[order]
+                once = np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])) if len(p) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(p[once]), pa.array(q[once]), pa.array(s[once].astype(np.float32))], ["u", "v", "sim"])
 
-    return _around(lists, codes, k, floor, reverse).mapInArrow(run, "u long, v long")
+    return _around(lists, codes, k, floor, reverse).mapInArrow(run, "u long, v long, sim float")
 
 
 class Graph:
@@ -328,35 +341,36 @@ def build_graphs(
     dims = [int(r.dim) for r in all_.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS + 1).collect()] or [1]
     if len(dims) > MOST_LENGTHS:
         raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
-    out = [_graph_of(all_.where(F.col("dim") == dim), dim, scratch, k, floor, trees, leaf, rounds, reverse, still) for dim in dims]
-    scratch.release(all_)
-    return out
+    done = lambda dim: scratch.release(all_) if dim == dims[-1] else None
+    return [_graph_of(all_.where(F.col("dim") == dim), dim, scratch, done, k, floor, trees, leaf, rounds, reverse, still) for dim in dims]
 
 
-def _graph_of(all_: DataFrame, dim: int, scratch: Scratch, k: int, floor: float, trees: int, leaf: int, rounds: int, reverse: int, still: float) -> Graph:
+def _graph_of(all_: DataFrame, dim: int, scratch: Scratch, done: Callable[[int], None], k: int, floor: float, trees: int, leaf: int, rounds: int, reverse: int, still: float) -> Graph:
     copies = all_.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
     copies = scratch.write(copies)
     known = all_.join(broadcast_if_small(copies), "key", "left").withColumn("rep", F.coalesce("rep", "id"))
     members = scratch.write(known.select("id", "rep"))
     nodes = scratch.write(known.where("id = rep").select(F.monotonically_increasing_id().alias("node"), "id", "vec"))
     codes = scratch.write(nodes.select("node", "vec").mapInArrow(_coded(dim), "node long, code binary"))
+    done(dim)
     pairs = first_lists(nodes, dim, k, floor, trees, leaf)
     # Every vector has lists from every tree: the best by code go on, more than are kept.
     pairs = _best(pairs.withColumn("old", F.lit(0)), 2 * k if floor <= -1 else k + 2, floor - CODE_ERROR)
-    near = scratch.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    lists = scratch.write(_best(_both_ways(exact_similarity(near, nodes, dim)).withColumn("old", F.lit(0)), k, floor))
+    pairs = scratch.write(pairs.select("u", "v", "sim"))
+    lists = scratch.write(_best(_weighed(pairs, nodes, dim, floor).withColumn("old", F.lit(0)), k, floor))
+    scratch.release(pairs)
     said = []
     for _ in range(rounds):
-        found = descend(lists, codes, dim, k, floor, reverse)
-        new = _both_ways(exact_similarity(found, nodes, dim)).withColumn("old", F.lit(0))
+        found = scratch.write(descend(lists, codes, dim, k, floor, reverse))
+        new = _weighed(found, nodes, dim, floor).withColumn("old", F.lit(0))
         better = scratch.write(_best(lists.select("u", "v", "sim", F.lit(1).alias("old")).unionByName(new), k, floor))
-        scratch.release(lists)
+        scratch.release(lists, found)
         lists = better
         row = lists.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
         said.append((row.n, row.fresh))
         if row.fresh <= still * row.n:
             break
-    scratch.release(copies, codes, near)
+    scratch.release(copies, codes)
     return Graph(lists, nodes, members, dim, k, scratch, said)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from profilespark.llm import communities as C
 from profilespark.llm import neighbours as N
-from profilespark.llm.canonical import map_labels, unmatched_report
+from profilespark.llm.canonical import ACCENT, EDITS, HEDGE, LOOKALIKE, map_labels, unmatched_report
 from profilespark.llm.leaks import find_leaks
 from profilespark.llm.packing import pack, packing_report
 from profilespark.llm.pii import find_pii, redact_pii
@@ -94,7 +94,32 @@ QUERIES = {
     "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 
+# The same steps in DuckDB, but every value is held against every reference string: no segments, no cut of candidates.
+_MAPPED = rf"""
+WITH strings AS (SELECT DISTINCT ref_id, s, prim, regexp_replace(s, '[^a-z0-9]', '', 'g') AS key FROM (
+    SELECT compartment_id AS ref_id, lower(translate(compartment, '{ACCENT[0]}', '{ACCENT[1]}')) AS s, true AS prim FROM compartments
+    UNION ALL SELECT compartment_id, lower(translate(a, '{ACCENT[0]}', '{ACCENT[1]}')), false FROM (SELECT compartment_id, unnest(aliases) AS a FROM compartments))
+  WHERE regexp_replace(s, '[^a-z0-9]', '', 'g') <> ''),
+typed AS (SELECT DISTINCT field_name, obs_id, value FROM (SELECT 'markers' AS field_name, obs_id, markers AS value FROM proteins UNION ALL SELECT 'cell_compartment', obs_id, cell_compartment FROM proteins)
+  WHERE obs_id IS NOT NULL AND regexp_replace(value, '\s', '', 'g') <> '' AND lower(trim(value)) <> 'unknown' AND value NOT IN (SELECT compartment FROM compartments WHERE compartment IS NOT NULL)),
+v0 AS (SELECT value, regexp_replace(translate(lower(translate(value, '{LOOKALIKE[0]}', '{LOOKALIKE[1]}')), '{ACCENT[0]}', '{ACCENT[1]}'), '[(\[][^)\]]*[)\]]', ' ', 'g') AS c FROM (SELECT DISTINCT value FROM typed)),
+v1 AS (SELECT value, regexp_replace(trim(regexp_replace(c, '\s+[-/|]\s+.*$', '', 'g')), '^(?:{HEDGE}\s+)+', '', 'g') AS c FROM v0),
+v AS (SELECT value, regexp_replace(c, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS c FROM v1),
+forms AS (SELECT DISTINCT value, c, regexp_replace(unnest([c, CASE WHEN c LIKE '%,%' THEN regexp_replace(c, '^([^,]*),(.*)$', '\2 \1') ELSE c END]), '[^a-z0-9]', '', 'g') AS key FROM v),
+exact AS (SELECT value, min(ref_id) AS ref_id FROM forms JOIN strings USING (key) GROUP BY value),
+vt AS (SELECT DISTINCT value, string_split_regex(replace(c, '-', ''), '\s+') AS t FROM forms WHERE value NOT IN (SELECT value FROM exact) AND regexp_matches(c, '[a-z]\.\s')),
+rt AS (SELECT ref_id, string_split_regex(replace(s, '-', ''), '\s+') AS t FROM strings WHERE prim),
+cut AS (SELECT value, min(ref_id) AS ref_id FROM vt JOIN rt ON len(vt.t) = len(rt.t) AND list_transform(vt.t, lambda x: x[1]) = list_transform(rt.t, lambda x: x[1])
+  WHERE list_bool_and(list_transform(range(1, len(vt.t) + 1), lambda i: CASE WHEN vt.t[i] LIKE '%.' THEN starts_with(rt.t[i], rtrim(vt.t[i], '.')) ELSE levenshtein(vt.t[i], rt.t[i]) <= 1 END)) GROUP BY value),
+s2 AS (SELECT *, {EDITS} AS k FROM (SELECT DISTINCT ref_id, key, length(key) AS n FROM strings)),
+near AS (SELECT value, min(d * 1000000 + ref_id) % 1000000 AS ref_id FROM (SELECT f.value, s2.ref_id, levenshtein(f.key, s2.key) AS d, s2.k FROM forms f JOIN s2 ON abs(length(f.key) - s2.n) <= s2.k
+    WHERE s2.k > 0 AND f.key <> '' AND f.value NOT IN (SELECT value FROM exact) AND f.value NOT IN (SELECT value FROM cut)) WHERE d <= k GROUP BY value),
+mapped AS (SELECT * FROM exact UNION ALL SELECT * FROM cut UNION ALL SELECT * FROM near)
+"""
+
 ORACLE = {
+    "p5_found": _MAPPED + "SELECT field_name, obs_id, CAST(coalesce(ref_id, 0) AS INTEGER) AS compartment_id FROM typed LEFT JOIN mapped USING (value)",
+    "p5_unmatched": _MAPPED + "SELECT field_name, value, count(*) AS n FROM typed WHERE value NOT IN (SELECT value FROM mapped) GROUP BY field_name, value",
     "p1_found": r"""
 WITH v AS (SELECT obs_id, CAST(x_pca AS DOUBLE[48]) AS x FROM (SELECT DISTINCT obs_id, x_pca FROM protein_pca WHERE x_pca IS NOT NULL AND list_sum(list_transform(x_pca, lambda t: abs(t))) > 0)),
 p AS (SELECT a.obs_id AS u, b.obs_id AS v, array_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.obs_id <> b.obs_id),
