@@ -27,7 +27,7 @@ from profilespark.session import Scratch, broadcast_if_small
 
 #: Vectors the trees are fitted on; the bound is for the driver's memory, all vectors are indexed.
 SAMPLE = 20_000
-LEAF, TREES, NEIGHBOURS, REVERSE, ROUNDS = 600, 4, 12, 12, 4
+LEAF, TREES, NEIGHBOURS, REVERSE, ROUNDS = 600, 3, 12, 12, 4
 #: Entries a list has whatever the floor; lengths of vectors in one collection, each of which costs a graph of its own.
 BELOW_FLOOR, MOST_LENGTHS = 1, 50
 #: Leaf similarities come from vectors of 8-bit numbers; this much is allowed for below a floor until they are exact.
@@ -269,8 +269,10 @@ def _around(lists: DataFrame, codes: DataFrame, k: int, floor: float, reverse: i
     rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("fresh"), F.desc("sim"), "m"))
     back = back.withColumn("rank", rank).where(F.col("rank") <= reverse).drop("rank")
     members = lists.select(F.col("u").alias("c"), F.col("v").alias("m"), "sim", "fresh").unionByName(back)
-    # Only around a vector that has something new there is anything to compare; the others' codes aren't moved.
-    members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("c"))).where("any").groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
+    # Only around a vector that has something new and two others there is anything to compare; the others' codes aren't moved.
+    around = Window.partitionBy("c")
+    members = members.withColumn("any", F.max("fresh").over(around) & (F.min("m").over(around) < F.max("m").over(around)))
+    members = members.where("any").groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
     short = F.when(F.col("n") <= BELOW_FLOOR, F.least(F.when(F.col("n") < BELOW_FLOOR, F.lit(-2.0)).otherwise(F.col("low")), F.lit(floor))).otherwise(floor)
     worst = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("m"), F.when(F.col("n") >= k, F.col("low")).otherwise(short).cast("float").alias("worst"))
     members = members.join(codes.withColumnRenamed("node", "m"), "m").join(worst, "m", "left")
