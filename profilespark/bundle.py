@@ -86,10 +86,9 @@ class SpatialDataset:
     def read_parquet(cls, spark: SparkSession, path: str) -> SpatialDataset:
         parts = {n: spark.read.parquet(f"{path}/{n}") for n in ("cells", "obs", "var")}
         for n in ("scores", "edges"):
-            try:
-                parts[n] = spark.read.parquet(f"{path}/{n}")
-            except Exception:  # noqa: BLE001  a part that was not written
-                parts[n] = None
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")
+            written = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+            parts[n] = spark.read.parquet(f"{path}/{n}") if written else None
         return cls(**parts)
 
 

@@ -59,8 +59,9 @@ def ontology_edges(terms: DataFrame, relationship: str = "hp") -> DataFrame:
     return terms.select(F.col("ac").alias("child"), F.explode(relationship).alias("name")).join(names, "name").select("child", "parent").distinct()
 
 
-def find_roots(terms: DataFrame, relationship: str = "hp", starts: DataFrame | None = None, most_steps: int = 100) -> DataFrame:
-    """ac, root: what each term reaches upwards that has no parent. Cycles end, as a pair is followed once."""
+def find_roots(terms: DataFrame, relationship: str = "hp", starts: DataFrame | None = None, most_steps: int = 1000) -> DataFrame:
+    """ac, root: what each term reaches upwards that has no parent. Cycles end, as a pair is followed once; a longer
+    way than ``most_steps`` raises."""
     scratch = Scratch(terms.sparkSession, "roots")
     up = scratch.write(ontology_edges(terms, relationship))
     seen = scratch.write((starts.select("ac") if starts is not None else terms.select("ac")).distinct().select("ac", F.col("ac").alias("at")))
@@ -71,6 +72,8 @@ def find_roots(terms: DataFrame, relationship: str = "hp", starts: DataFrame | N
         if new.isEmpty():
             break
         seen = scratch.write(seen.unionByName(new))
+    else:
+        raise RuntimeError(f"terms lead on after {most_steps} steps")
     return seen.join(up.select(F.col("child").alias("at")).distinct(), "at", "left_anti").select("ac", F.col("at").alias("root"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,9 +89,9 @@ def remodeling(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("obs_id", F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, v: s + v)).alias("score"))
 
 
-def robust_distances(x: np.ndarray, support: float = 0.75, seed: int = 0, starts: int = 20) -> np.ndarray:
-    """Squared Mahalanobis distances by the minimum covariance determinant: the tightest share of rows, found by steps
-    that keep the rows nearest to the estimate, from several random starts."""
+def robust_estimate(x: np.ndarray, support: float = 0.75, seed: int = 0, starts: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Location and inverse scatter by the minimum covariance determinant: the tightest share of rows, found by steps
+    that keep the rows nearest to the estimate, from several random starts; scaled to the median of chi-squared."""
     rng = np.random.default_rng(seed)
     n, p = x.shape
     h = max(int(support * n), (n + p + 1) // 2)
@@ -111,7 +112,13 @@ def robust_distances(x: np.ndarray, support: float = 0.75, seed: int = 0, starts
     d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
     median = float(np.median(d))
     chi_median = p * (1 - 2 / (9 * p)) ** 3  # of chi-squared with p degrees, to which the distances are scaled
-    return d * (chi_median / median) if median > 0 else d
+    return m, np.linalg.inv(c) * (chi_median / median if median > 0 else 1.0)
+
+
+def robust_distances(x: np.ndarray, support: float = 0.75, seed: int = 0, starts: int = 20) -> np.ndarray:
+    """Squared Mahalanobis distances from the robust estimate of the same rows."""
+    m, inverse = robust_estimate(x, support, seed, starts)
+    return np.einsum("ij,jk,ik->i", x - m, inverse, x - m)
 
 
 def condition_differences(cells: DataFrame, var: DataFrame, condition: str, replicate: str, fraction: str) -> DataFrame:
@@ -131,22 +138,37 @@ def mr_score(cells: DataFrame, var: DataFrame, condition: str, replicate: str, f
 
     Per replicate the differences' robust Mahalanobis distance gives a chi-squared tail; the median over iterations,
     the largest over replicates, cubed and adjusted is q, and m is -log10 q. r is the least correlation of two replicates.
-    The location and scatter of a replicate are estimated on at most ``sample`` proteins, drawn by a hash; all are scored.
+    The location and scatter of a replicate are estimated once, on at most ``sample`` proteins drawn by a hash, and score all.
     """
     diff = condition_differences(cells, var, condition, replicate, fraction)
     reps = [r[0] for r in diff.select("replicate").distinct().orderBy("replicate").limit(4).collect()]
     if len(reps) != 3:
         raise ValueError("exactly three replicates are needed")
     size = diff.agg(F.max(F.size("profile"))).first()[0]
-    diff = diff.where(F.size("profile") == size)
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("obs_id")
-        x = np.stack(pdf["profile"])
-        return pd.DataFrame({"obs_id": pdf["obs_id"], "d2": np.median([robust_distances(x, support, i) for i in range(iterations)], axis=0)})
-
-    parts = max(1, -(-diff.count() // (3 * sample)))
-    d2 = diff.withColumn("part", F.pmod(F.xxhash64("obs_id"), F.lit(parts))).groupBy("replicate", "part").applyInPandas(score, "obs_id string, d2 double")
+    diff = diff.where(F.size("profile") == size).withColumn("replicate", F.col("replicate").cast("string"))
+
+    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("obs_id")["profile"])
+        fits = [robust_estimate(x, support, i) for i in range(iterations)]
+        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "m": [m.tolist() for m, _ in fits], "inverse": [v.ravel().tolist() for _, v in fits]})
+
+    draw = F.row_number().over(Window.partitionBy("replicate").orderBy(F.xxhash64("obs_id"), "obs_id"))
+    drawn = diff.withColumn("draw", draw).where(F.col("draw") <= sample).drop("draw")
+    fits: dict = {}
+    for row in drawn.groupBy("replicate").applyInPandas(estimate, "replicate string, m array<double>, inverse array<double>").collect():  # a few rows a replicate
+        fits.setdefault(row.replicate, []).append((np.array(row.m), np.array(row.inverse).reshape(size, size)))
+    shared = cells.sparkSession.sparkContext.broadcast(fits)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["profile"]) if len(pdf) else np.zeros((0, size))
+            d2 = np.full(len(pdf), np.nan)
+            for name in pdf["replicate"].unique():
+                at = (pdf["replicate"] == name).to_numpy()
+                d2[at] = np.median([np.einsum("ij,jk,ik->i", x[at] - m, v, x[at] - m) for m, v in shared.value[str(name)]], axis=0)
+            yield pd.DataFrame({"obs_id": pdf["obs_id"], "d2": d2})
+
+    d2 = diff.mapInPandas(score, "obs_id string, d2 double")
     p = d2.withColumn("p", chi2_tail("d2", int(size))).groupBy("obs_id").agg(F.max("p").alias("p"), F.count("*").alias("n")).where("n = 3")
     q = bh_adjust(p.withColumn("p3", F.pow("p", F.lit(3.0))), "p3", "q")
     wide = diff.groupBy("obs_id").pivot("replicate", reps).agg(F.first("profile"))

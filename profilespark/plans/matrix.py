@@ -211,7 +211,7 @@ def propagate_labels(spark, d):
 
 def competitive_propagation(spark, d):
     ds = dataset_tables(spark, d)
-    return L.competitive_propagation(L.symmetric_edges(ds.edges), _labels(spark, d, ds), fix_markers=True, min_probability=0.5)
+    return L.competitive_propagation(L.symmetric_edges(ds.edges), _labels(spark, d, ds), fix_markers=True, min_probability=0.5).withColumn("probability", F.round("probability", 6))
 
 
 def spread_labels(spark, d):

@@ -15,7 +15,7 @@ ROOT = Path(entry.__file__).resolve().parent
 
 def core() -> list[str]:
     names: list[str] = []
-    for m in ("profilespark.plans.records", "profilespark.plans.matrix"):
+    for m in ("profilespark.plans.records", "profilespark.plans.matrix", "profilespark.plans.frames"):
         names += sorted(set(importlib.import_module(m).ORACLE))
     return names
 
