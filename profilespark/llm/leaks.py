@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,13 +20,13 @@ from profilespark.llm.fmindex import FMIndex
 WORDS = 12
 #: Words a shard's index holds; a single longer text is still indexed whole.
 SHARD_WORDS = 1_000_000
-#: Test items handed to every task at once; more are searched in further passes.
+#: Test items whose phrases a task holds at once; of more, block after block is searched in the index of a shard.
 ITEM_BLOCK = 20_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MARKED_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 _MARKS = regex.compile(r"\p{M}+")
-_ASCII_WORD = __import__("re").compile(r"[a-z0-9]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str) -> list[str]:
@@ -50,19 +51,32 @@ def phrases(items: list[tuple[int, str | None]], n: int) -> dict[tuple[str, ...]
     return {p: sorted(s) for p, s in out.items()}
 
 
-def search_shard(docs: list[tuple[int, str, list[str]]], wanted: dict[tuple[str, ...], list[int]], n: int) -> list[tuple[int, int, int, int, int]]:
-    """(doc_id, item_id, first char, end char, words) of the merged matching spans of one shard."""
-    ids: dict[str, int] = defaultdict(itertools.count(2).__next__)
-    parts, starts, at = [], [], 0
-    for _, _, w in docs:
-        starts.append(at)
-        parts.append(np.fromiter(map(ids.__getitem__, w), np.int64, len(w)))
-        parts.append(np.ones(1, np.int64))
-        at += len(w) + 1
-    known = [(tuple(ids[x] for x in p), items) for p, items in wanted.items() if all(x in ids for x in p)]
-    if not known or at < n:
-        return []
-    index = FMIndex(np.concatenate([*parts, np.zeros(1, np.int64)]))
+class Shard:
+    """Texts (doc_id, text, words) with one index over all their words, built when a first block of phrases needs it."""
+
+    def __init__(self, docs: list[tuple[int, str, list[str]]], n: int):
+        self.docs, self.n = docs, n
+        self.ids: dict[str, int] = defaultdict(itertools.count(2).__next__)
+        self.starts, self.size, parts = [], 0, []
+        for _, _, w in docs:
+            self.starts.append(self.size)
+            parts.append(np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)))
+            parts.append(np.ones(1, np.int64))
+            self.size += len(w) + 1
+        self.sequence = np.concatenate([*parts, np.zeros(1, np.int64)])
+        self.index: FMIndex | None = None
+
+    def search(self, wanted: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int, int, int, int]]:
+        """(doc_id, item_id, first char, end char, words) of the merged spans that match the phrases."""
+        known = [(tuple(self.ids[x] for x in p), items) for p, items in wanted.items() if all(x in self.ids for x in p)]
+        if not known or self.size < self.n:
+            return []
+        if self.index is None:
+            self.index = FMIndex(self.sequence)
+        return _spans(self.index, known, self.docs, self.starts, self.n)
+
+
+def _spans(index: FMIndex, known: list[tuple[tuple[int, ...], list[int]]], docs: list[tuple[int, str, list[str]]], starts: list[int], n: int) -> list[tuple[int, int, int, int, int]]:
     lo, hi = index.search(np.array([p for p, _ in known], np.int64))
     found = np.flatnonzero(hi > lo)
     if not len(found):
@@ -106,32 +120,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     total = wanted_items.count()
     source = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id")
     blocks = max(1, -(-total // ITEM_BLOCK))
-    result = None
+    shared = []
     for b in range(blocks):
         block = wanted_items if blocks == 1 else wanted_items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        wanted = spark.sparkContext.broadcast(phrases([(r.i, r.p) for r in block.collect()], n))
-
-        def run(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
-            held: list[tuple[int, str, list[str]]] = []
-            size = 0
-
-            def flush() -> pd.DataFrame:
-                rows = search_shard(held, wanted.value, n)
-                return pd.DataFrame(rows, columns=["doc_id", "item_id", "char_start", "char_end", "n_words"])
-
-            for batch in batches:
-                for doc, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                    w = words(t)
-                    if len(w) < n:
-                        continue
-                    held.append((doc, t, w))
-                    size += len(w)
-                    if size >= SHARD_WORDS:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
-
-        part = source.mapInPandas(run, "doc_id long, item_id long, char_start int, char_end int, n_words int")
-        result = part if result is None else result.unionByName(part)
-    return result.distinct()
+        shared.append(spark.sparkContext.broadcast(phrases([(r.i, r.p) for r in block.collect()], n)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, str, list[str]]] = []
+        size = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            shard = Shard(held, n)
+            for wanted in shared:
+                yield pd.DataFrame(shard.search(wanted.value), columns=["doc_id", "item_id", "char_start", "char_end", "n_words"])
+                if len(shared) > 1:  # a worker holds the phrases of one block
+                    wanted.__dict__.pop("_value", None)
+
+        for batch in batches:
+            for doc, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                w = words(t)
+                if len(w) < n:
+                    continue
+                held.append((doc, t, w))
+                size += len(w)
+                if size >= SHARD_WORDS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return source.mapInPandas(run, "doc_id long, item_id long, char_start int, char_end int, n_words int").distinct()

@@ -28,7 +28,9 @@ def test_fm_index(seq, step):
         assert sorted(f.locate(np.arange(a, b)).tolist()) == [i for i in range(len(s) - 2) if s[i : i + 3].tolist() == p.tolist()]
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_leaks(spark, monkeypatch, block):
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", block)
     r = random.Random(1)
     word = lambda: r.choice("Alpha bêta gamma Größe delta épsilon zeta eta theta iota kappa lambda mu nu xi omicron".split())
     items = [(i, " ".join(word() for _ in range(30))) for i in range(20)] + [(90, "too short"), (91, None), (92, "")]
