@@ -352,7 +352,7 @@ def set_activity(spark, d):
 def independent_diffusion(spark, d):
     ds = dataset_tables(spark, d)
     seeds = _labels(spark, d, ds).where("label IS NOT NULL").select("obs_id", F.col("label").alias("term"))
-    return S.independent_diffusion(L.symmetric_edges(ds.edges), seeds, (0.3, 0.7), 4, 3)["labels"]
+    return S.independent_diffusion(L.symmetric_edges(ds.edges), seeds, min_term_size=3)["labels"]
 
 
 def set_containment(spark, d):

@@ -300,6 +300,18 @@ def test_diffusion(spark, two_cliques):
     out = S.independent_diffusion(edges, seeds, (0.3, 0.7), 5, 3)
     got = {r.obs_id: r.label for r in out["labels"].collect()}
     assert got["a5"] == "A" and got["b5"] == "B"
+    one = S.independent_diffusion(edges, seeds, (0.5,), min_term_size=3)["scores"]
+    names = sorted({r.src for r in edges.collect()})
+    w, seeded = np.zeros((len(names), len(names))), {(r.obs_id, r.term) for r in seeds.collect()}
+    for r in edges.collect():
+        w[names.index(r.src), names.index(r.dst)] = r.w
+    step = w / np.sqrt(np.outer(w.sum(1), w.sum(1)))
+    for term in "AB":
+        y = np.array([float((n, term) in seeded) for n in names])
+        h = np.linalg.solve(np.eye(len(names)) - 0.5 * step, 0.5 * y) - 0.5 * y
+        want = np.minimum(1, h / h[y > 0].mean())
+        for r in one.where(F.col("term") == term).collect():
+            assert abs(r.value - want[names.index(r.obs_id)]) < 1e-3
     c = S.calibrate(out["scores"].withColumn("y", (F.upper(F.substring("obs_id", 1, 1)) == F.col("term")).cast("double")), folds=2)
     assert c.where("value < 0 OR value > 1").count() == 0
     nested = spark.createDataFrame([("p", "in", 0.9), ("p", "out", 0.95), ("q", "out", 0.9), ("q", "in", 0.1), ("r", "in", 0.1)], "obs_id string, term string, value double")
