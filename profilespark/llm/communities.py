@@ -16,7 +16,7 @@ from profilespark.operators.graph import both_ways, connected_components, shared
 from profilespark.session import Scratch
 
 #: A level, and the whole, end when modularity grows by less than this; a run that needs more rounds or levels fails.
-STILL = 1e-4
+STILL = 3e-4
 MOST_MOVES, MOST_LEVELS = 100, 30
 
 
