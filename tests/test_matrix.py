@@ -399,3 +399,20 @@ def test_set_activity_reads_all_genes_and_sets(spark):
     got = {r.term: r.q for r in S.cluster_set_activity(clusters, obs, sets.unionByName(small), max_active=1).collect()}
     want, _, _ = S.set_activity({str(i * 600) for i in range(300)}, {f"t{t:02}": {str(i) for i in range(n) if i % 16 != t} for t in range(12)} | {"zz": {str(i * 600) for i in range(300)}}, {str(i) for i in range(n)}, max_active=1)
     assert sets.count() > 2_000_001 and got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want) and got["zz"] > 0.9
+
+
+def test_set_activity_counts_covers_once_for_all_clusters(spark, monkeypatch):
+    """What configurations cover is counted on the driver, once; each cluster gets what it gets on its own."""
+    rng = np.random.default_rng(6)
+    genes = [f"g{i}" for i in range(600)]
+    sets = {f"s{k:02}": set(rng.choice(genes, 60, replace=False).tolist()) for k in range(12)}
+    member = {f"c{k:02}": rng.choice(sorted(sets[f"s{k % 12:02}"]), 15, replace=False).tolist() for k in range(20)}
+    made, make = [], S.set_model
+    monkeypatch.setattr(S, "set_model", lambda *a: made.append(make(*a)) or made[-1])
+    obs = spark.createDataFrame([(c, f"{c}{g}", g) for c, own in member.items() for g in own] + [(None, g, g) for g in genes], "cluster string, obs_id string, gene string")
+    pairs = spark.createDataFrame([(t, g) for t, own in sets.items() for g in own], "term string, gene string")
+    got = {(r.cluster, r.term): r.q for r in S.cluster_set_activity(obs.select("obs_id", "cluster"), obs.select("obs_id", "gene"), pairs).collect()}
+    assert len(made) == 1 and len(got) == 240
+    for c, own in member.items():
+        want, _, _ = S.set_activity(set(own), sets, set().union(*sets.values()))
+        assert all(abs(got[c, t] - q) < 1e-9 for t, q in want.items())
