@@ -416,3 +416,13 @@ def test_set_activity_counts_covers_once_for_all_clusters(spark, monkeypatch):
     for c, own in member.items():
         want, _, _ = S.set_activity(set(own), sets, set().union(*sets.values()))
         assert all(abs(got[c, t] - q) < 1e-9 for t, q in want.items())
+
+
+def test_markov_clustering_takes_all_edges(spark, sf_dir):
+    from profilespark.plans import matrix as Q
+
+    edges = L.symmetric_edges(Q.dataset_tables(spark, sf_dir).edges)
+    assert rows(Q.markov_clustering(spark, sf_dir), "obs_id") == rows(edges.select(F.col("src").alias("obs_id")).distinct())
+    light = L.symmetric_edges(spark.createDataFrame([("a", "b", 0.2), ("b", "c", 0.2), ("a", "c", 0.2), ("d", "a", 0.0)], "src string, dst string, w double"))
+    got = {r.obs_id: r.cluster for r in C.markov_clustering(light, 2.0).collect()}
+    assert got["a"] == got["b"] == got["c"] != got["d"] == "d"
