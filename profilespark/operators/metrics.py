@@ -3,70 +3,155 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilespark.bundle import measured
 from profilespark.functions.stats import bh_adjust, chi2_tail
-
-BLOCK = 4000
-
-
-def distance_sums(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """obs_id, label, other, d, n: summed Euclidean distance of each row to the rows of each label, itself included.
-
-    vectors: obs_id, label, vec. All pairs are the result's definition; they are computed block by block, each pair
-    of blocks in a task of its own, and only sums leave it. Rows with a null label or vector take no part.
+from profilespark.session import Scratch, shuffle_partitions
+
+#: Rows of a block. Fewer blocks move fewer copies of rows; sums of a row by block are what silhouettes move besides.
+BLOCK = 65_536
+
+
+class _Side:
+    """A block's rows in order of their labels."""
+
+    def __init__(self, t: pa.Table):
+        code = t.column("code").to_numpy()
+        order = np.argsort(code, kind="stable")
+        vec = t.column("vec").combine_chunks()
+        if len(set(pc.list_value_length(vec).unique().to_pylist())) > 1:
+            raise ValueError("vectors must have one length")
+        self.x = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(code), -1)[order]
+        self.ids, self.code = t.column("obs_id").to_numpy(zero_copy_only=False)[order], code[order]
+        self.labels, starts = np.unique(self.code, return_index=True)
+        self.ends = list(zip(starts.tolist(), [*starts[1:].tolist(), len(code)]))
+        self.square = (self.x * self.x).sum(1)
+
+    def sums(self, other: _Side) -> np.ndarray:
+        """Of each row the summed distances to the rows of each label of the other side, those of its own id left out."""
+        out = np.zeros((len(self.ids), len(other.labels)))
+        for i in range(0, len(self.ids), 256):
+            x, square = -2 * self.x[i : i + 256], self.square[i : i + 256, None]
+            for k, (lo, hi) in enumerate(other.ends):
+                for a in range(lo, hi, 2048):
+                    b = min(a + 2048, hi)
+                    d = x @ other.x[a:b].T  # tiles that stay in the processor's cache
+                    d += square
+                    d += other.square[a:b]
+                    np.maximum(d, 0, out=d)
+                    np.sqrt(d, out=d)
+                    if other is self:
+                        for r, c in self.same(i, i + len(x), a, b):
+                            d[r, c] = 0
+                    out[i : i + 256, k] += d.sum(1)
+        return out
+
+    def same(self, i: int, j: int, a: int, b: int) -> list[tuple]:
+        """Places in the tile of rows i to j and columns a to b that hold a row itself or one of its id."""
+        own = np.arange(max(i, a), min(j, b))
+        return [(own - i, own - a), *((r - i, [c - a for c in group if a <= c < b]) for r, group in self.twice.items() if i <= r < j)]
+
+    @cached_property
+    def twice(self) -> dict[int, list[int]]:
+        """Rows whose id isn't theirs alone, with all rows of that id; equal ids are always in one block."""
+        at: dict[str, list[int]] = {}
+        for k, v in enumerate(self.ids):
+            at.setdefault(v, []).append(k)
+        return {k: own for own in at.values() if len(own) > 1 for k in own}
+
+
+def _pairs_of_blocks(vectors: DataFrame, block: int, both: bool) -> tuple[DataFrame, int, list[str], list[int]]:
+    """Rows by pair of blocks (bi, bj, side 0 or 1, obs_id, code, vec), the number of blocks, labels by code, rows of each.
+
+    All pairs of rows are the result's definition; they are computed block by block, each pair of blocks in a task of its
+    own (both: bi before bj and after it). Rows with a null label or vector take no part.
     """
-    rows = vectors.where("obs_id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL").select("obs_id", "label", F.col("vec").cast("array<double>").alias("vec"))
-    blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("obs_id"), F.lit(blocks)))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("c", each).withColumn("side", F.lit(0)).select(F.col("b").alias("bi"), F.col("c").cast("long").alias("bj"), "side", "obs_id", "label", "vec")
-    right = rows.withColumn("c", each).withColumn("side", F.lit(1)).select(F.col("c").cast("long").alias("bi"), F.col("b").alias("bj"), "side", "obs_id", "label", "vec")
-
-    def run(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        x = np.stack([np.asarray(v, float) for v in t.column("vec").to_pylist()])
-        ids, labels = np.array(t.column("obs_id").to_pylist(), object), np.array(t.column("label").to_pylist(), object)
-        a, b = side == 0, side == 1
-        out = []
-        if a.any() and b.any():
-            names, code = np.unique(labels[b].astype(str), return_inverse=True)
-            hot = np.zeros((b.sum(), len(names)))
-            hot[np.arange(b.sum()), code] = 1
-            xa, xb = x[a], x[b]
-            for i in range(0, len(xa), 500):
-                p = xa[i : i + 500]
-                d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (xb * xb).sum(1)[None] - 2 * p @ xb.T, 0))
-                d[ids[a][i : i + 500][:, None] == ids[b][None]] = 0
-                s = d @ hot
-                for r, o, l in zip(s, ids[a][i : i + 500], labels[a][i : i + 500]):
-                    out += [(o, l, n, float(v), int(k)) for n, v, k in zip(names, r, hot.sum(0))]
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.table({"obs_id": pa.array(cols[0], pa.string()), "label": pa.array(cols[1], pa.string()), "other": pa.array(cols[2], pa.string()), "d": pa.array(cols[3], pa.float64()), "n": pa.array(cols[4], pa.int64())})
-
-    parts = left.unionByName(right).groupBy("bi", "bj").applyInArrow(run, "obs_id string, label string, other string, d double, n long")
-    return parts.groupBy("obs_id", "label", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    spark = vectors.sparkSession
+    rows = Scratch(spark, "distances").write(vectors.where("obs_id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL").select("obs_id", "label", "vec"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    n, cores = sum(r.n for r in counts), spark.sparkContext.defaultParallelism
+    blocks = max(-(-n // block), min(math.ceil(math.sqrt((1 if both else 2) * cores)), n // 500), 1)  # a pair for each core
+    codes = spark.createDataFrame([(r.label, i) for i, r in enumerate(counts)], "label string, code int")
+    b, c = F.col("b"), F.col("c")
+    rows = rows.join(F.broadcast(codes), "label").withColumn("b", F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if both:
+        cols = ["obs_id", "code", "vec"]
+        rows = rows.select(b.alias("bi"), c.alias("bj"), F.lit(0).alias("side"), *cols).unionByName(rows.where("b <> c").select(c.alias("bi"), b.alias("bj"), F.lit(1).alias("side"), *cols))
+    else:
+        rows = rows.select(F.least(b, c).alias("bi"), F.greatest(b, c).alias("bj"), F.when(b <= c, 0).otherwise(1).alias("side"), "obs_id", "code", "vec")
+    return rows.repartition(2 * blocks * blocks, "bi", "bj"), blocks, [r.label for r in counts], [r.n for r in counts]
+
+
+def _sides(t: pa.Table) -> tuple[_Side | None, _Side | None]:
+    side = t.column("side").to_numpy()
+    left, right = (_Side(t.filter(pa.array(side == k))) if (side == k).any() else None for k in (0, 1))
+    return left, left if t.column("bi")[0] == t.column("bj")[0] else right
 
 
 def silhouette(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """obs_id, label, silhouette: (b - a) / max(a, b); 0 where a row is alone in its label."""
-    s = distance_sums(vectors, block)
-    own = F.col("label") == F.col("other")
-    by = s.groupBy("obs_id", "label").agg(F.max(F.when(own & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
-    top = F.greatest("a", "b")
-    return by.select("obs_id", "label", F.coalesce(F.when(top > 0, (F.col("b") - F.col("a")) / top), F.lit(0.0)).alias("silhouette"))
+    """obs_id, label, silhouette: (b - a) / max(a, b); 0 where a row is alone in its label. vectors: obs_id, label, vec.
 
-
-def qsep(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """label, other, distance, relative: mean distance of each pair of labels (a row with itself counts as 0), and over that within."""
-    s = distance_sums(vectors, block).groupBy("label", "other").agg((F.sum("d") / F.sum("n")).alias("distance"))
+    A pair of blocks gives each row on its left an array of sums by label; a row's arrays are added over the blocks.
+    """
+    pairs, blocks, names, size = _pairs_of_blocks(vectors, block, both=True)
+    width = 8 * len(names)
+
+    def sums(t: pa.Table) -> pa.Table:
+        a, b = _sides(t)
+        full = np.zeros((len(a.ids) if a else 0, len(names)))
+        if a and b:
+            full[:, b.labels] = a.sums(b)
+        d = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(np.arange(len(full) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(full.tobytes())])
+        return pa.table({"obs_id": pa.array(a.ids if a else [], pa.string()), "code": pa.array(a.code if a else [], pa.int32()), "d": d})
+
+    def scores(t: pa.Table) -> pa.Table:
+        keys: dict[tuple[str, int], int] = {}
+        at = np.array([keys.setdefault(k, len(keys)) for k in zip(t.column("obs_id").to_pylist(), t.column("code").to_pylist())])
+        s = np.zeros((len(keys), len(names)))
+        np.add.at(s, at, np.frombuffer(b"".join(t.column("d").to_pylist())).reshape(len(at), len(names)))
+        n = np.bincount(at, minlength=len(keys))[:, None] // blocks * np.array(size)  # rows of one id and label count as one
+        own, me = np.array([c for _, c in keys]), np.arange(len(keys))
+        more = n[me, own] > 1
+        a = s[me, own] / np.where(more, n[me, own] - 1, 1)
+        mean = s / n
+        mean[me, own] = np.inf
+        b = mean.min(1)
+        top = np.maximum(a, b)
+        ok = more & np.isfinite(b) & (top > 0)
+        return pa.table({"obs_id": pa.array([k for k, _ in keys], pa.string()), "label": pa.array([names[c] for c in own], pa.string()), "silhouette": pa.array(np.where(ok, (np.where(ok, b, 0) - a) / np.where(ok, top, 1), 0.0))})
+
+    each = pairs.groupBy("bi", "bj").applyInArrow(sums, "obs_id string, code int, d binary")
+    parts = max(shuffle_partitions(vectors.sparkSession), blocks * sum(size) * width // 32_000_000)
+    return each.groupBy(F.pmod(F.xxhash64("obs_id", F.lit("part")), F.lit(parts))).applyInArrow(scores, "obs_id string, label string, silhouette double")
+
+
+def qsep(vectors: DataFrame, block: int = BLOCK // 2) -> DataFrame:
+    """label, other, distance, relative: mean distance of each pair of labels (a row with itself counts as 0), and over that within.
+
+    A distance counts for both of its rows, so each pair of blocks is computed once; only sums by pair of labels leave it.
+    """
+    pairs, _, names, size = _pairs_of_blocks(vectors, block, both=False)
+
+    def sums(t: pa.Table) -> pa.Table:
+        a, b = _sides(t)
+        if a is None or b is None:
+            return pa.table({"label": pa.array([], pa.string()), "other": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
+        d = np.add.reduceat(a.sums(b), [lo for lo, _ in a.ends], axis=0) / np.outer([size[c] for c in a.labels], [size[c] for c in b.labels])
+        out = [(names[x], names[y], v) for x, r in zip(a.labels, d.tolist()) for y, v in zip(b.labels, r)]
+        out += [(y, x, v) for x, y, v in out] if a is not b else []
+        return pa.table(dict(zip(("label", "other", "distance"), map(list, zip(*out)))))
+
+    s = pairs.groupBy("bi", "bj").applyInArrow(sums, "label string, other string, distance double").groupBy("label", "other").agg(F.sum("distance").alias("distance"))
     own = s.where("label = other").select("label", F.col("distance").alias("w"))
     return s.join(own, "label").select("label", "other", "distance", F.when(F.col("w") > 0, F.col("distance") / F.col("w")).alias("relative"))
 

@@ -426,3 +426,29 @@ def test_markov_clustering_takes_all_edges(spark, sf_dir):
     light = L.symmetric_edges(spark.createDataFrame([("a", "b", 0.2), ("b", "c", 0.2), ("a", "c", 0.2), ("d", "a", 0.0)], "src string, dst string, w double"))
     got = {r.obs_id: r.cluster for r in C.markov_clustering(light, 2.0).collect()}
     assert got["a"] == got["b"] == got["c"] != got["d"] == "d"
+
+
+def test_distances_move_sums_not_rows_by_label(spark, monkeypatch):
+    """Ids in twice, blocks without rows and labels of one row give what all pairs give; a row leaves a pair of blocks once."""
+    rng = np.random.default_rng(7)
+    data = [(f"i{k // 2 if k < 8 else k:03}", "AB"[k % 2] if k < 90 else "ABCD"[k % 3] if k < 99 else "D", rng.normal(k % 3, 1, 5)) for k in range(100)]
+    v = spark.createDataFrame([(a, b, x.tolist()) for a, b, x in data], "obs_id string, label string, vec array<float>")
+    x = np.array([d[2] for d in data], np.float32).astype(float)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    ids, labels = (np.array([d[k] for d in data]) for k in (0, 1))
+    dist[ids[:, None] == ids[None]] = 0
+    for block in (9, 1000):
+        got = {(r.label, r.other): r.distance for r in M.qsep(v, block).collect()}
+        assert len(got) == 16 and all(abs(got[a, b] - dist[labels == a][:, labels == b].mean()) < 1e-9 for a, b in got)
+        sil = {(r.obs_id, r.label): r.silhouette for r in M.silhouette(v, block).collect()}
+        assert len(sil) == len({(a, b) for a, b, _ in data}) and sil["i099", "D"] == 0
+        for (i, a), s in sil.items():
+            d = dist[(ids == i) & (labels == a)]
+            n = {b: d.shape[0] * (labels == b).sum() for b in "ABCD"}
+            own, far = d[:, labels == a].sum() / (n[a] - 1) if n[a] > 1 else 0, min(d[:, labels == b].sum() / n[b] for b in "ABCD" if b != a)
+            assert abs(s - ((far - own) / max(own, far) if n[a] > 1 else 0)) < 1e-9
+    seen = []
+    apply = type(v.groupBy()).applyInArrow
+    monkeypatch.setattr(type(v.groupBy()), "applyInArrow", lambda self, f, schema: seen.append(apply(self, f, schema)) or seen[-1])
+    M.qsep(v, 50)
+    assert seen[0].count() <= 3 * 2 * 16
