@@ -452,3 +452,12 @@ def test_distances_move_sums_not_rows_by_label(spark, monkeypatch):
     monkeypatch.setattr(type(v.groupBy()), "applyInArrow", lambda self, f, schema: seen.append(apply(self, f, schema)) or seen[-1])
     M.qsep(v, 50)
     assert seen[0].count() <= 3 * 2 * 16
+
+
+def test_silhouette_moves_one_array_a_row_and_block(spark, monkeypatch):
+    v = spark.createDataFrame([(f"i{k:03}", "ABCDE"[k % 5], [float(k), float(k * k % 17)]) for k in range(100)], "obs_id string, label string, vec array<double>")
+    seen = []
+    apply = type(v.groupBy()).applyInArrow
+    monkeypatch.setattr(type(v.groupBy()), "applyInArrow", lambda self, f, schema: seen.append(apply(self, f, schema)) or seen[-1])
+    assert M.silhouette(v, 50).count() == 100
+    assert seen[0].count() == 200  # two blocks, not a row for each label besides
