@@ -6,12 +6,15 @@ Edge tables are src, dst, w in both directions (see ``symmetric_edges``); labels
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilespark.functions.stats import bh_adjust, entropy
-from profilespark.operators.graph import both_ways, undirected
+from profilespark.operators.graph import Walk, both_ways, by_category, numbered_walk, undirected
 from profilespark.session import Scratch
 
 
@@ -75,6 +78,83 @@ def one_hot(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("label").isNotNull()).select("obs_id", F.col("label").alias("category"), F.lit(1.0).alias("value"))
 
 
+def _spread(walk: Walk, at: np.ndarray, value: np.ndarray, alpha: float, iterations: int, tol: float) -> tuple[np.ndarray, float]:
+    """One category's values after spreading, and what the last step changed."""
+    seed = np.zeros(walk.n)
+    seed[at] = value
+    now, off = seed, 0.0
+    for _ in range(iterations):
+        new = alpha * walk.step(now) + (1 - alpha) * seed
+        off = float(np.abs(new - now).sum())
+        now = new
+        if off < tol:
+            break
+    return now, off
+
+
+def _warn_unless_still(off: float, tol: float, iterations: int) -> None:
+    if off >= tol:
+        warnings.warn(f"labels not still after {iterations} steps: the last changed {off:g}", stacklevel=3)
+
+
+def spread_labels(edges: DataFrame, labels: DataFrame, alpha: float = 0.8, iterations: int = 1000, tol: float = 1e-3) -> DataFrame:
+    """``best_category`` of ``propagate`` by spreading: obs_id, label, probability.
+
+    Only the largest value and the sum of a task's categories leave it for a node, not a row for each category.
+    """
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must lie in [0, 1]")
+    scratch = Scratch(edges.sparkSession, "spread")
+    seed = one_hot(labels)
+    found = numbered_walk(edges, seed, scratch)
+    if found is None:
+        return best_category(propagate(edges, seed, method="spreading", alpha=alpha, iterations=iterations, tol=tol))
+    nodes, walk = found
+    seeds = by_category(seed, nodes, scratch)
+    shared, most = edges.sparkSession.sparkContext.broadcast(walk), tol / max(1, seeds.count())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = shared.value
+        rows = sorted((r for b in batches for r in zip(b["category"], b["at"], b["value"])), key=lambda r: r[0])
+        total, best, which, change = np.zeros(walk.n), np.zeros(walk.n), np.zeros(walk.n, int), 0.0
+        for k, (_, at, value) in enumerate(rows):
+            y, off = _spread(walk, at, value, alpha, iterations, most)
+            y *= value.sum() / y.sum() if y.sum() > 0 else 0.0  # classes are balanced
+            change += off
+            total += y
+            better = y > best
+            best[better], which[better] = y[better], k
+        i = np.flatnonzero(best > 0)
+        names = np.array([r[0] for r in rows], object)
+        yield pd.DataFrame({"i": i.astype(np.int32), "label": names[which[i]] if len(i) else [], "value": best[i], "total": total[i]})
+        yield pd.DataFrame({"i": np.array([-1], np.int32), "label": "", "value": change, "total": 0.0})
+
+    each = scratch.write(seeds.mapInPandas(run, "i int, label string, value double, total double"))
+    _warn_unless_still(each.where("i < 0").agg(F.sum("value")).first()[0] or 0.0, tol, iterations)
+    top = each.where("i >= 0").groupBy("i").agg(F.sum("total").alias("total"), F.min(F.struct((-F.col("value")).alias("v"), "label")).alias("b"))
+    return top.join(nodes, "i").select("obs_id", F.col("b.label").alias("label"), (-F.col("b.v") / F.col("total")).alias("probability"))
+
+
+def _spread_all(edges: DataFrame, seed: DataFrame, alpha: float, iterations: int, tol: float, scratch: Scratch) -> DataFrame | None:
+    """obs_id, category, value after spreading; None if the graph is too large for one task."""
+    found = numbered_walk(edges, seed, scratch)
+    if found is None:
+        return None
+    nodes, walk = found
+    seeds = by_category(seed, nodes, scratch)
+    shared, most = edges.sparkSession.sparkContext.broadcast(walk), tol / max(1, seeds.count())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for category, at, value in (r for b in batches for r in zip(b["category"], b["at"], b["value"])):
+            y, off = _spread(shared.value, at, value, alpha, iterations, most)
+            i = np.flatnonzero(y > 0)
+            yield pd.DataFrame({"i": np.append(i, -1).astype(np.int32), "category": category, "value": np.append(y[i], off)})
+
+    each = scratch.write(seeds.mapInPandas(run, "i int, category string, value double"))
+    _warn_unless_still(each.where("i < 0").agg(F.sum("value")).first()[0] or 0.0, tol, iterations)
+    return each.join(nodes, "i").select("obs_id", "category", "value")
+
+
 def propagate(
     edges: DataFrame, seed: DataFrame, method: str = "propagation", alpha: float = 0.8, iterations: int = 1, class_balance: bool = True, clamp: bool = False, tol: float = 1e-3
 ) -> DataFrame:
@@ -84,15 +164,17 @@ def propagate(
     Y <- a D^-1/2 W D^-1/2 Y + (1 - a) S. Class balance scales each category by its seed mass over what it got. Only
     categories that reach a row have one; a row that none reaches has no row here. Edges are joined on dst and summed
     by (src, category) each time: one row per edge and category, so the graph is read once per step, never squared.
+    Spreading in many steps goes on category by category in tasks that hold the graph, where it isn't too large for one.
     """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie in [0, 1]")
     scratch = Scratch(edges.sparkSession, "propagate")
-    if method == "spreading":
+    whole = _spread_all(edges, seed, alpha, iterations, tol, scratch) if method == "spreading" and iterations > 1 else None
+    if method == "spreading" and whole is None:
         degree = edges.groupBy("src").agg(F.sum("w").alias("d")).where("d > 0")
         edges = edges.join(degree, "src").join(degree.withColumnsRenamed({"src": "dst", "d": "e"}), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
-    now = seed
-    for step in range(iterations):
+    now = seed if whole is None else whole
+    for step in range(iterations if whole is None else 0):
         y = edges.join(now.withColumnRenamed("obs_id", "dst"), "dst").groupBy(F.col("src").alias("obs_id"), "category").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
         if method == "spreading":
             y = y.select("obs_id", "category", (alpha * F.col("value")).alias("value")).unionByName(seed.select("obs_id", "category", ((1 - alpha) * F.col("value")).alias("value")))

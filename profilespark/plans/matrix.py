@@ -216,7 +216,7 @@ def competitive_propagation(spark, d):
 
 def spread_labels(spark, d):
     ds = dataset_tables(spark, d)
-    return L.best_category(L.propagate(L.symmetric_edges(ds.edges), L.one_hot(_labels(spark, d, ds)), method="spreading", iterations=1000))
+    return L.spread_labels(L.symmetric_edges(ds.edges), _labels(spark, d, ds), iterations=1000)
 
 
 def resolve_labels(spark, d):

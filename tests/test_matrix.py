@@ -461,3 +461,22 @@ def test_silhouette_moves_one_array_a_row_and_block(spark, monkeypatch):
     monkeypatch.setattr(type(v.groupBy()), "applyInArrow", lambda self, f, schema: seen.append(apply(self, f, schema)) or seen[-1])
     assert M.silhouette(v, 50).count() == 100
     assert seen[0].count() == 200  # two blocks, not a row for each label besides
+
+
+def test_spreading_in_tasks_is_spreading_by_joins(spark, monkeypatch):
+    """The same values from a graph that goes to the tasks and from one too large for it, by few jobs instead of one a step."""
+    rng = np.random.default_rng(8)
+    edges = L.symmetric_edges(spark.createDataFrame([(f"n{a:02}", f"n{b:02}", float(w)) for a, b, w in zip(rng.integers(30, size=80), rng.integers(30, size=80), rng.random(80).round(2))], "src string, dst string, w double"))
+    labels = spark.createDataFrame([(f"n{k:02}", "abc"[k % 3] if k % 4 == 0 else None) for k in range(30)] + [("alone", "b")], "obs_id string, label string")
+    writes, write = [], L.Scratch.write
+    monkeypatch.setattr(L.Scratch, "write", lambda self, df: writes.append(1) or write(self, df))
+    mine = {r.obs_id: (r.label, r.probability) for r in L.spread_labels(edges, labels).collect()}
+    assert len(writes) <= 4
+    slow = {r.obs_id: (r.label, r.probability) for r in L.best_category(L.propagate(edges, L.one_hot(labels), method="spreading", iterations=1000)).collect()}
+    assert mine.keys() == slow.keys() and "alone" in mine and all(mine[k][0] == v[0] and abs(mine[k][1] - v[1]) < 1e-9 for k, v in slow.items())
+    task = {(r.obs_id, r.category): r.value for r in L.propagate(edges, L.one_hot(labels), method="spreading", iterations=4, tol=1e-12).collect()}
+    from profilespark.operators import graph
+
+    monkeypatch.setattr(graph, "MOST_EDGES", 1)
+    joined = {(r.obs_id, r.category): r.value for r in L.propagate(edges, L.one_hot(labels), method="spreading", iterations=4, tol=1e-12).collect()}
+    assert joined.keys() == task.keys() and all(abs(v - task[k]) < 1e-9 for k, v in joined.items())
