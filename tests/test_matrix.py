@@ -498,3 +498,21 @@ def test_diffusion_in_tasks_is_diffusion_by_joins(spark, monkeypatch):
         want = {tuple(r)[: 2 if k == "scores" else 1]: tuple(r) for r in v.collect()}
         assert want.keys() == got[k].keys()
         assert all(a == pytest.approx(b, abs=1e-9) if isinstance(a, float) else a == b for key, row in want.items() for a, b in zip(row, got[k][key])), k
+
+
+def test_merging_tests_terms_only_of_what_changed(spark, monkeypatch):
+    """Two pairs of cliques merge; the second round asks for the enrichment of the merged clusters only."""
+    pairs = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "abxy" for i in range(4) for j in range(i)] + [(f"{p}{i}", f"{q}{j}", 1.0) for p, q in ("ab", "xy") for i in range(4) for j in range(4)]
+    edges = L.symmetric_edges(spark.createDataFrame([*pairs, ("z0", "z1", 1.0)], "src string, dst string, w double"))
+    cl = spark.createDataFrame([(f"{c}{i}", c) for c in "abxy" for i in range(4)] + [("z0", "z"), ("z1", "z")], "obs_id string, cluster string")
+    genes, sets = cl.select("obs_id", F.col("obs_id").alias("gene")), spark.createDataFrame([(t, f"{c}{i}") for t in ("ab", "xy") for c in t for i in range(4)], "term string, gene string")
+    asked, enrich = [], C.cluster_enrichment
+    monkeypatch.setattr(C, "cluster_enrichment", lambda now, *a: asked.append(now.select("cluster").distinct().count()) or enrich(now, *a))
+    got = {r.obs_id: r.cluster for r in C.merge_clusters_by_terms(edges, cl, genes, sets).collect()}
+    assert asked == [5, 2] and set(got.values()) == {"a", "x", "z"} and got["b3"] == "a" and got["y0"] == "x"
+
+
+def test_linkage_stops_at_a_height():
+    d = {("a", "b"): 0.2, ("c", "d"): 0.2, ("b", "c"): 0.5}
+    assert C.average_linkage(list("abcd"), d) == [(0, 1, 0.2, 2), (2, 3, 0.2, 2), (4, 5, 0.875, 4)]
+    assert C.average_linkage(list("abcd"), d, 0.5) == [(0, 1, 0.2, 2), (2, 3, 0.2, 2)]
