@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,12 +18,15 @@ from profilespark.bundle import measured
 from profilespark.functions.stats import bh_adjust, chi2_tail
 from profilespark.session import Scratch, shuffle_partitions
 
-#: Rows of a block. Fewer blocks move fewer copies of rows; sums of a row by block are what silhouettes move besides.
+#: Rows of a block. Fewer blocks move fewer copies of rows.
 BLOCK = 65_536
 
+#: Rows and columns of a tile of distances, which stays in the processor's cache.
+TILE = 512
+
 
 class _Side:
-    """A block's rows in order of their labels."""
+    """A block's rows in order of their labels, in tiles of one label each."""
 
     def __init__(self, t: pa.Table):
         code = t.column("code").to_numpy()
@@ -35,61 +38,75 @@ class _Side:
         self.ids, self.code = t.column("obs_id").to_numpy(zero_copy_only=False)[order], code[order]
         self.labels, starts = np.unique(self.code, return_index=True)
         self.ends = list(zip(starts.tolist(), [*starts[1:].tolist(), len(code)]))
-        self.square = (self.x * self.x).sum(1)
-
-    def sums(self, other: _Side) -> np.ndarray:
-        """Of each row the summed distances to the rows of each label of the other side, those of its own id left out."""
-        out = np.zeros((len(self.ids), len(other.labels)))
-        for i in range(0, len(self.ids), 256):
-            x, square = -2 * self.x[i : i + 256], self.square[i : i + 256, None]
-            for k, (lo, hi) in enumerate(other.ends):
-                for a in range(lo, hi, 2048):
-                    b = min(a + 2048, hi)
-                    d = x @ other.x[a:b].T  # tiles that stay in the processor's cache
-                    d += square
-                    d += other.square[a:b]
-                    np.maximum(d, 0, out=d)
-                    np.sqrt(d, out=d)
-                    if other is self:
-                        for r, c in self.same(i, i + len(x), a, b):
-                            d[r, c] = 0
-                    out[i : i + 256, k] += d.sum(1)
+        self.cuts = [(k, slice(a, min(a + TILE, end))) for k, (start, end) in enumerate(self.ends) for a in range(start, end, TILE)]
+
+    def wide(self, scale: float, swap: bool) -> np.ndarray:
+        """Rows with two columns more, so that the product with the other side's is the squared distance."""
+        more = [(self.x * self.x).sum(1)[:, None], np.ones((len(self.x), 1))]
+        return np.concatenate((scale * self.x, *(more[::-1] if swap else more)), 1)
+
+    def same(self, other: _Side) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """By pair of tiles the places in it that hold a row itself or two rows of one id."""
+        there: dict[str, list[tuple[int, int]]] = {}
+        for q, (_, cut) in enumerate(other.cuts):
+            for c in range(cut.start, cut.stop):
+                there.setdefault(other.ids[c], []).append((q, c - cut.start))
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for p, (_, cut) in enumerate(self.cuts):
+            for r in range(cut.start, cut.stop):
+                for q, c in there.get(self.ids[r], ()):
+                    out.setdefault((p, q), []).append((r - cut.start, c))
         return out
 
-    def same(self, i: int, j: int, a: int, b: int) -> list[tuple]:
-        """Places in the tile of rows i to j and columns a to b that hold a row itself or one of its id."""
-        own = np.arange(max(i, a), min(j, b))
-        return [(own - i, own - a), *((r - i, [c - a for c in group if a <= c < b]) for r, group in self.twice.items() if i <= r < j)]
-
-    @cached_property
-    def twice(self) -> dict[int, list[int]]:
-        """Rows whose id isn't theirs alone, with all rows of that id; equal ids are always in one block."""
-        at: dict[str, list[int]] = {}
-        for k, v in enumerate(self.ids):
-            at.setdefault(v, []).append(k)
-        return {k: own for own in at.values() if len(own) > 1 for k in own}
-
-
-def _pairs_of_blocks(vectors: DataFrame, block: int, both: bool) -> tuple[DataFrame, int, list[str], list[int]]:
-    """Rows by pair of blocks (bi, bj, side 0 or 1, obs_id, code, vec), the number of blocks, labels by code, rows of each.
-
-    All pairs of rows are the result's definition; they are computed block by block, each pair of blocks in a task of its
-    own (both: bi before bj and after it). Rows with a null label or vector take no part.
+    def tiles(self, other: _Side) -> Iterator[tuple[int, slice, int, slice, np.ndarray]]:
+        """Place of the label and rows on this side, the same on the other, and distances, those of one id 0; each pair of tiles once."""
+        x, y, same = self.wide(-2, swap=False), np.ascontiguousarray(other.wide(1, swap=True).T), self.same(other)
+        for p, (k, here) in enumerate(self.cuts):
+            for q, (m, there) in enumerate(other.cuts):
+                if other is self and q < p:
+                    continue
+                d = x[here] @ y[:, there]
+                np.maximum(d, 0, out=d)
+                np.sqrt(d, out=d)
+                for r, c in same.get((p, q), ()):
+                    d[r, c] = 0
+                yield k, here, m, there, d
+
+    def sums(self, other: _Side) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the summed distances to the rows of each label of the other side, and of each row there to the labels here."""
+        mine, theirs = np.zeros((len(other.labels), len(self.ids))), np.zeros((len(self.labels), len(other.ids)))
+        for k, here, m, there, d in self.tiles(other):
+            mine[m, here] += d.sum(1)
+            if other is not self or here != there:
+                theirs[k, there] += d.sum(0)
+        if other is self:
+            mine += theirs
+        return mine.T, theirs.T
+
+
+def _pairs_of_blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, list[tuple[int, int]], list[str], list[int]]:
+    """Rows by pair of blocks (pair, bi, bj, side 0 or 1, obs_id, code, vec), first and last code of each block, labels by
+    code, rows of each.
+
+    All pairs of rows are the result's definition; they are computed block by block, each pair of blocks once and in a
+    partition of its own. Blocks follow the order of labels, so few labels are in one, and a row's sums by block are few.
+    Rows with a null label or vector take no part.
     """
     spark = vectors.sparkSession
     rows = Scratch(spark, "distances").write(vectors.where("obs_id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL").select("obs_id", "label", "vec"))
     counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
     n, cores = sum(r.n for r in counts), spark.sparkContext.defaultParallelism
-    blocks = max(-(-n // block), min(math.ceil(math.sqrt((1 if both else 2) * cores)), n // 500), 1)  # a pair for each core
-    codes = spark.createDataFrame([(r.label, i) for i, r in enumerate(counts)], "label string, code int")
+    blocks = max(-(-n // block), min(math.ceil(math.sqrt(2 * cores)), n // 500), 1)  # a pair for each core
+    first = list(itertools.accumulate((r.n for r in counts), initial=0))
+    cuts = [-(-n * k // blocks) for k in range(blocks + 1)]
+    codes = spark.createDataFrame([(r.label, i, first[i], r.n) for i, r in enumerate(counts)], "label string, code int, first long, n long")
     b, c = F.col("b"), F.col("c")
-    rows = rows.join(F.broadcast(codes), "label").withColumn("b", F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if both:
-        cols = ["obs_id", "code", "vec"]
-        rows = rows.select(b.alias("bi"), c.alias("bj"), F.lit(0).alias("side"), *cols).unionByName(rows.where("b <> c").select(c.alias("bi"), b.alias("bj"), F.lit(1).alias("side"), *cols))
-    else:
-        rows = rows.select(F.least(b, c).alias("bi"), F.greatest(b, c).alias("bj"), F.when(b <= c, 0).otherwise(1).alias("side"), "obs_id", "code", "vec")
-    return rows.repartition(2 * blocks * blocks, "bi", "bj"), blocks, [r.label for r in counts], [r.n for r in counts]
+    place = F.floor((F.col("first") + F.pmod(F.xxhash64("obs_id"), F.col("n"))) * blocks / max(n, 1)).cast("int")
+    rows = rows.join(F.broadcast(codes), "label").withColumn("b", place).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least(b, c).alias("bi"), F.greatest(b, c).alias("bj"), F.when(b <= c, 0).otherwise(1).alias("side"), "obs_id", "code", "vec")
+    pair = (F.pmod(F.col("bj") - F.col("bi") - 1, F.lit(blocks)) * blocks + F.col("bi")).cast("int")  # a block with itself, which is half the work, comes last
+    ranges = [(bisect.bisect_right(first, p) - 1, bisect.bisect_right(first, q - 1) - 1) for p, q in itertools.pairwise(cuts)] if n else []
+    return rows.withColumn("pair", pair).repartitionById(blocks * blocks, F.col("pair")), ranges, [r.label for r in counts], [r.n for r in counts]
 
 
 def _sides(t: pa.Table) -> tuple[_Side | None, _Side | None]:
@@ -101,24 +118,36 @@ def _sides(t: pa.Table) -> tuple[_Side | None, _Side | None]:
 def silhouette(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """obs_id, label, silhouette: (b - a) / max(a, b); 0 where a row is alone in its label. vectors: obs_id, label, vec.
 
-    A pair of blocks gives each row on its left an array of sums by label; a row's arrays are added over the blocks.
+    A pair of blocks gives each of its rows an array of sums by label of the other block; as blocks follow the labels, a
+    row's arrays over all blocks hold hardly more than one sum a label. They are put together row by row.
     """
-    pairs, blocks, names, size = _pairs_of_blocks(vectors, block, both=True)
-    width = 8 * len(names)
+    pairs, ranges, names, size = _pairs_of_blocks(vectors, block)
+    blocks = len(ranges)
+
+    def array(side: _Side, other: int, labels: np.ndarray, s: np.ndarray) -> pa.Table:
+        first, last = ranges[other]
+        full = np.zeros((len(side.ids), last - first + 1))
+        full[:, labels - first] = s
+        ends = pa.py_buffer(np.arange(len(full) + 1, dtype=np.int32) * np.int32(8 * full.shape[1]))
+        return pa.table({"obs_id": pa.array(side.ids, pa.string()), "code": pa.array(side.code, pa.int32()), "block": pa.array(np.full(len(full), other, np.int32)), "d": pa.Array.from_buffers(pa.binary(), len(full), [None, ends, pa.py_buffer(full)])})
 
     def sums(t: pa.Table) -> pa.Table:
         a, b = _sides(t)
-        full = np.zeros((len(a.ids) if a else 0, len(names)))
-        if a and b:
-            full[:, b.labels] = a.sums(b)
-        d = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(np.arange(len(full) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(full.tobytes())])
-        return pa.table({"obs_id": pa.array(a.ids if a else [], pa.string()), "code": pa.array(a.code if a else [], pa.int32()), "d": d})
+        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        if a is None or b is None:
+            only, other = (a, bj) if a else (b, bi)
+            return array(only, other, np.array([], int), np.zeros((len(only.ids), 0)))
+        mine, theirs = a.sums(b)
+        out = [array(a, bj, b.labels, mine)]
+        return pa.concat_tables(out if a is b else [*out, array(b, bi, a.labels, theirs)])
 
     def scores(t: pa.Table) -> pa.Table:
         keys: dict[tuple[str, int], int] = {}
         at = np.array([keys.setdefault(k, len(keys)) for k in zip(t.column("obs_id").to_pylist(), t.column("code").to_pylist())])
-        s = np.zeros((len(keys), len(names)))
-        np.add.at(s, at, np.frombuffer(b"".join(t.column("d").to_pylist())).reshape(len(at), len(names)))
+        s, block, d = np.zeros((len(keys), len(names))), t.column("block").to_numpy(), t.column("d")
+        for k, (first, last) in enumerate(ranges):
+            if (own := np.flatnonzero(block == k)).size:
+                np.add.at(s[:, first : last + 1], at[own], np.frombuffer(b"".join(d.take(pa.array(own)).to_pylist())).reshape(len(own), -1))
         n = np.bincount(at, minlength=len(keys))[:, None] // blocks * np.array(size)  # rows of one id and label count as one
         own, me = np.array([c for _, c in keys]), np.arange(len(keys))
         more = n[me, own] > 1
@@ -130,8 +159,8 @@ def silhouette(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         ok = more & np.isfinite(b) & (top > 0)
         return pa.table({"obs_id": pa.array([k for k, _ in keys], pa.string()), "label": pa.array([names[c] for c in own], pa.string()), "silhouette": pa.array(np.where(ok, (np.where(ok, b, 0) - a) / np.where(ok, top, 1), 0.0))})
 
-    each = pairs.groupBy("bi", "bj").applyInArrow(sums, "obs_id string, code int, d binary")
-    parts = max(shuffle_partitions(vectors.sparkSession), blocks * sum(size) * width // 32_000_000)
+    each = pairs.groupBy("pair").applyInArrow(sums, "obs_id string, code int, block int, d binary")
+    parts = max(shuffle_partitions(vectors.sparkSession), sum(size) * 8 * (len(names) + blocks) // 32_000_000)
     return each.groupBy(F.pmod(F.xxhash64("obs_id", F.lit("part")), F.lit(parts))).applyInArrow(scores, "obs_id string, label string, silhouette double")
 
 
@@ -140,18 +169,19 @@ def qsep(vectors: DataFrame, block: int = BLOCK // 2) -> DataFrame:
 
     A distance counts for both of its rows, so each pair of blocks is computed once; only sums by pair of labels leave it.
     """
-    pairs, _, names, size = _pairs_of_blocks(vectors, block, both=False)
+    pairs, _, names, size = _pairs_of_blocks(vectors, block)
 
     def sums(t: pa.Table) -> pa.Table:
         a, b = _sides(t)
-        if a is None or b is None:
-            return pa.table({"label": pa.array([], pa.string()), "other": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
-        d = np.add.reduceat(a.sums(b), [lo for lo, _ in a.ends], axis=0) / np.outer([size[c] for c in a.labels], [size[c] for c in b.labels])
-        out = [(names[x], names[y], v) for x, r in zip(a.labels, d.tolist()) for y, v in zip(b.labels, r)]
-        out += [(y, x, v) for x, y, v in out] if a is not b else []
-        return pa.table(dict(zip(("label", "other", "distance"), map(list, zip(*out)))))
-
-    s = pairs.groupBy("bi", "bj").applyInArrow(sums, "label string, other string, distance double").groupBy("label", "other").agg(F.sum("distance").alias("distance"))
+        total: dict[tuple[int, int], float] = {}
+        for k, here, m, there, d in a.tiles(b) if a and b else ():
+            x, y, v = int(a.labels[k]), int(b.labels[m]), float(d.sum())
+            for pair in ((x, y),) if a is b and here == there else ((x, y), (y, x)):
+                total[pair] = total.get(pair, 0.0) + v
+        out = [(names[x], names[y], v / size[x] / size[y]) for (x, y), v in total.items()]
+        return pa.table({c: pa.array([r[k] for r in out], kind) for k, (c, kind) in enumerate((("label", pa.string()), ("other", pa.string()), ("distance", pa.float64())))})
+
+    s = pairs.groupBy("pair").applyInArrow(sums, "label string, other string, distance double").groupBy("label", "other").agg(F.sum("distance").alias("distance"))
     own = s.where("label = other").select("label", F.col("distance").alias("w"))
     return s.join(own, "label").select("label", "other", "distance", F.when(F.col("w") > 0, F.col("distance") / F.col("w")).alias("relative"))
 

@@ -16,10 +16,13 @@ from profilespark.operators import metrics as M
 from profilespark.operators import models as S
 from profilespark.operators import plotframes as P
 from profilespark.operators import space as V
-from profilespark.session import read_table
+from profilespark.session import Scratch, broadcast_if_small, read_table
 
 DIM = 48
 
+#: Labelled proteins whose labels are broadcast to their vectors; each takes about 170 bytes.
+MOST_LABELLED = 500_000
+
 
 def _labels(spark: SparkSession, d: str, ds: SpatialDataset) -> DataFrame:
     """obs_id, label: the markers that are a compartment to the letter, else null."""
@@ -27,15 +30,27 @@ def _labels(spark: SparkSession, d: str, ds: SpatialDataset) -> DataFrame:
     return ds.obs.select("obs_id", "markers").join(names, F.col("markers") == F.col("label"), "left").select("obs_id", "label")
 
 
+def _exported_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "protein_pca").where("x_pca IS NOT NULL").where(F.size("x_pca") == DIM).select("obs_id", F.col("x_pca").alias("vec"))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = read_table(spark, d, "protein_pca").where("x_pca IS NOT NULL").select("obs_id", F.col("x_pca").alias("vec")).distinct()
-    return v.where(F.size("vec") == DIM)
+    return _exported_vectors(spark, d).distinct()
 
 
 def _labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).join(_labels(spark, d, dataset_tables(spark, d)), "obs_id")
 
 
+def _vectors_with_label(spark: SparkSession, d: str) -> DataFrame:
+    """obs_id, vec, label: only of proteins with a label. Others go before copies are removed, so they aren't shuffled."""
+    names = F.broadcast(read_table(spark, d, "compartments").select(F.col("compartment").alias("markers")))
+    obs = read_table(spark, d, "proteins").where("obs_id IS NOT NULL").join(names, "markers", "left_semi").distinct()
+    labels = Scratch(spark, "labels").write(obs.groupBy("obs_id").agg(F.collect_list("markers").alias("labels")))
+    rows = _exported_vectors(spark, d).join(broadcast_if_small(labels, MOST_LABELLED), "obs_id").distinct()
+    return rows.select("obs_id", "vec", F.explode("labels").alias("label"))
+
+
 def _clusters(ds: SpatialDataset) -> DataFrame:
     return ds.obs.select("obs_id", F.col("mc_cluster").alias("cluster"))
 
@@ -246,7 +261,7 @@ def knn_confusion(spark, d):
 
 
 def silhouette(spark, d):
-    return M.silhouette(_labelled_vectors(spark, d)).select("obs_id", "label", F.round("silhouette", 5).alias("silhouette"))
+    return M.silhouette(_vectors_with_label(spark, d)).select("obs_id", "label", F.round("silhouette", 5).alias("silhouette"))
 
 
 def qsep(spark, d):

@@ -463,6 +463,44 @@ def test_silhouette_moves_one_array_a_row_and_block(spark, monkeypatch):
     assert seen[0].count() == 200  # two blocks, not a row for each label besides
 
 
+def test_silhouette_arrays_hold_a_label_once_not_once_a_block(spark, monkeypatch):
+    v = spark.createDataFrame([(f"i{k:03}", "ABCDE"[k % 5], [float(k), float(k * k % 17)]) for k in range(100)], "obs_id string, label string, vec array<double>")
+    seen = []
+    apply = type(v.groupBy()).applyInArrow
+    monkeypatch.setattr(type(v.groupBy()), "applyInArrow", lambda self, f, schema: seen.append(apply(self, f, schema)) or seen[-1])
+    got = M.silhouette(v, 10).collect()  # ten blocks
+    assert len(got) == 100 and seen[0].agg(F.sum(F.length("d"))).first()[0] <= 100 * 8 * (5 + 10 - 1)
+    assert M._pairs_of_blocks(v, 10)[0].count() == 100 * 10
+
+
+def test_silhouette_shuffles_only_vectors_with_a_label(spark, tmp_path, monkeypatch):
+    """Few of many proteins have a label; an id comes twice, with one label, with two and with two vectors. As by SQL."""
+    from profilespark.plans import matrix as Q
+    from tests.compare import compare
+
+    rng = np.random.default_rng(3)
+    marks = [("p", "A"), ("p", "A"), ("q", "A"), ("q", "B"), *((f"r{k:02}", "ABCA"[k % 4]) for k in range(20)), ("s", "D"), ("t", "a"), ("none", "B"), *((f"u{k:03}", "?" if k % 2 else None) for k in range(400))]
+    vectors = [(a, rng.normal(len(a), 1, Q.DIM).tolist()) for a in sorted({a for a, _ in marks} - {"none"})]
+    vectors += [("q", rng.normal(0, 1, Q.DIM).tolist()), *vectors[:5], ("r01", None), ("alone", vectors[0][1])]
+    made = {
+        "proteins": spark.createDataFrame([(a, m, k) for k, (a, m) in enumerate(marks)] + [("p", "A", 0)], "obs_id string, markers string, obs_pos int"),
+        "protein_pca": spark.createDataFrame(vectors, "obs_id string, x_pca array<float>"),
+        "compartments": spark.createDataFrame([(x,) for x in "ABCD"], "compartment string"),
+        "samples": spark.createDataFrame([], "var_id string"),
+        "cells": spark.createDataFrame([], "obs_id string, var_id string, injection int, x double, loaded_at timestamp"),
+        "connectivities": spark.createDataFrame([], "src string, dst string, w double"),
+    }
+    for name, df in made.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    copies, distinct = [], type(made["cells"]).distinct
+    monkeypatch.setattr(type(made["cells"]), "distinct", lambda self: copies.append(self) or distinct(self))
+    for most in (1000, 0):
+        monkeypatch.setattr(Q, "MOST_LABELLED", most, raising=False)
+        copies.clear()
+        assert compare(spark, "silhouette", Q.silhouette, Q.ORACLE["silhouette"], str(tmp_path)) == ""
+        assert max(df.count() for df in copies) < 40
+
+
 def test_spreading_in_tasks_is_spreading_by_joins(spark, monkeypatch):
     """The same values from a graph that goes to the tasks and from one too large for it, by few jobs instead of one a step."""
     rng = np.random.default_rng(8)
